@@ -15,8 +15,24 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegate.llm.bpe import vocabulary
+    from tidegate.llm.packing import best_fit
+
+    return best_fit(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegate.llm.bpe import vocabulary
+    from tidegate.llm.tokenbin import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_token_shards": op7_token_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
