@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegate.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegate.llm.langid import learn_and_identify
+
+    return learn_and_identify(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegate.llm.exact import content_sort
 
@@ -30,6 +36,7 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_shards": op7_token_shards,
