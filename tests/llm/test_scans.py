@@ -1,0 +1,120 @@
+from __future__ import annotations
+
+import random
+import re
+
+import public_tokenizers
+import pytest
+import regex
+
+from tidegate.llm import counts, secretscan
+from tidegate.llm.bpe import encoder, vocabulary
+from tidegate.llm.decontam import clean, contaminated
+
+PATH, PATTERN = vocabulary(), regex.compile(public_tokenizers.PATTERN)
+CODEC = secretscan.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def base_brute(text):
+    out = []
+    for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.ASCII):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    for m in re.finditer(r"AKIA[A-Z0-9]+", text):
+        if len(m[0]) >= 18:
+            out.append((m.start(), 1, f"access:{m.start()}:{m.end()}"))
+    for m in re.finditer(r"[0-9a-f]+", text):
+        if len(m[0]) >= 16:
+            out.append((m.start(), 2, f"hex:{m.start()}:{m.end()}"))
+    return ",".join(x[2] for x in sorted(out))
+
+
+def test_base_spans_equal_the_patterns():
+    rnd = random.Random(4)
+    parts = ["password", "Secret", "TOKEN", "api_key", "apikey", "=", ": ", '"', "'", "AKIA", "AKIA1234567890ABCD", "deadbeef", "0123456789", "é", " ", "\n", "abcdefghijkl", "x.y-z_", "ſecret", "toKen"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(25))) for _ in range(3000)]
+    assert [secretscan.joined(b) for b, _ in secretscan.scan(texts, CODEC)] == [base_brute(t) for t in texts]
+
+
+def test_random_strings_and_known_identifiers():
+    secret = "key qJ8zK2vX9pL4mN7rT1wY6bD3 end"
+    plain = ["Donaudampfschifffahrtsgesellschaft", "some_long_function_name_v2", "123e4567-e89b-12d3-a456-426614174000", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "2024-01-02-2024-02-03-10", "path/to/some/module/file"]
+    got = secretscan.scan([secret, *plain, ""], CODEC)
+    assert secretscan.joined(got[0][1]) == "random:4:28"
+    assert [secretscan.joined(a) for _, a in got[1:]] == [""] * 7
+
+
+def test_secret_query(frame, empty):
+    args = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = sorted(secretscan.find_secrets(frame([None, "", "token=abcdefghijklmn", "token=abcdefghijklmn"]), *args).collect())
+    assert [r.n_assign for r in rows] == [0, 0, 1, 1] and rows[2].spans == "assign:0:20"
+    assert secretscan.find_secrets(empty, *args).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_edits_equal_a_full_recount(seed):
+    rnd = random.Random(seed)
+    parts = ["word", " it's", "  ", "\n", " a", "don't", "'ll", " 12", "é", ", ", ".", "\t", " ", "x" * 30]
+    text = "".join(rnd.choice(parts) for _ in range(rnd.choice([0, 1, 40, 300])))
+    (tree,) = counts.trees([text], PATH, PATTERN)
+    for _ in range(60):
+        a = rnd.randrange(len(text) + 2)
+        b = a + rnd.choice([0, 0, 1, 3, 20, 200])
+        new = "".join(rnd.choice(parts) for _ in range(rnd.choice([0, 1, 5])))
+        tree.edit(a, b, new)
+        text = text[:a] + new + text[max(min(b, len(text)), min(a, len(text))) :]
+        assert tree.text == text
+        assert tree.total == len(encoder(PATH).encode([text])[0])
+        assert tree.tree[1, 0] == len(text)
+
+
+def test_only_the_region_is_encoded():
+    (tree,) = counts.trees(["some words, and more. " * 500], PATH, PATTERN)
+    tree.edit(5000, 5004, "edit")
+    assert tree.encoded < 20
+
+
+def test_count_query(frame, empty):
+    texts = ["a b c " * 50, None, "", "a b c " * 50]
+    for r in counts.edited_counts(frame(texts), PATH, public_tokenizers.PATTERN).collect():
+        t = texts[r.doc_id] or ""
+        n = len(encoder(PATH).encode([t])[0])
+        for a, b, new in counts.sample_edits(t):
+            t = t[:a] + new + t[max(min(b, len(t)), a) :]
+        assert (r.n_tokens, r.n_tokens_after, r.n_chars_after) == (n, len(encoder(PATH).encode([t])[0]), len(t))
+    assert counts.edited_counts(empty, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+ITEMS = [
+    (1, "A train with Anna leaves the station at 40 km per hour and then Anna drives back at 60 km per hour to the station."),
+    (2, "Quick question about whales."),
+    (3, "the cat sat on mats today"),
+    (4, None),
+    (None, "this item has no id at all and so it is left out of everything"),
+    (5, ""),
+]
+
+
+def test_templates(spark, frame, empty):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    filler = "Plain words of an ordinary text come here in some number. " * 3
+    texts = [
+        filler + ITEMS[0][1] + filler,
+        filler + ITEMS[0][1].replace("Anna", "Boris").replace("40", "45").replace("60", "75") + filler,
+        filler + ITEMS[0][1].replace("leaves the station at 40 km per hour and then Anna", "leaves the station at 41 km per hour and then Carla") + filler,
+        filler,
+        None,
+        "",
+        "Then THE CAT, sat on mats today!",
+        "Quick question about whales.",
+        filler + " ".join(ITEMS[0][1].split()[:7]),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in contaminated(frame(texts), items).collect()}
+    assert {(0, 1), (1, 1), (6, 3)} <= set(got) and {k[0] for k in got} <= {0, 1, 2, 6}
+    assert got[0, 1].coverage == 1.0 and got[0, 1].n_changed == 0 < got[1, 1].n_changed
+    kept = clean(frame(texts), items)
+    assert kept.columns == frame(texts).columns
+    assert {r.doc_id for r in kept.collect()} == set(range(9)) - {k[0] for k in got}
+    assert {(r.doc_id, r.item_id) for r in contaminated(frame(texts), items, block=10).collect()} == set(got)
+    assert contaminated(empty, items).count() == 0
+    assert contaminated(frame(texts), items.limit(0)).count() == 0

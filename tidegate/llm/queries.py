@@ -47,6 +47,29 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidegate.llm.secretscan import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidegate.llm.bpe import vocabulary
+    from tidegate.llm.counts import edited_counts
+
+    return edited_counts(table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.PATTERN)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegate.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
@@ -54,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_shards": op7_token_shards,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_edit_counts": op9_edit_counts,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
