@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegate.llm.bpe import vocabulary
-from tidegate.llm.common import stored, table
+from tidegate.llm.common import delete, stored, table
 from tidegate.llm.decontam import clean
 from tidegate.llm.exact import keep_first
 from tidegate.llm.ngram_join import one_of_each
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents, each written as Parquet in the shared folder and read again as the next one's documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = stored(stage(spark, docs, sf_dir), name)
+        docs, folder = stored(stage(spark, docs, sf_dir), name)
+        if before:
+            delete(spark, before)
+        before = folder
     return docs
