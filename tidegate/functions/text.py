@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +34,6 @@ def redact(text: Column, size: int, suffix: str = "...[truncated]") -> Column:
 
 def redact_json(size: int, suffix: str = "...[truncated]"):
     """A pandas UDF that redacts every string of a JSON document, at any depth."""
-    import pandas as pd
-
     def walk(v):
         if isinstance(v, str):
             return v[:size] + suffix if len(v.encode()) > size else v
@@ -45,10 +44,12 @@ def redact_json(size: int, suffix: str = "...[truncated]"):
     def one(s):
         return None if s is None else json.dumps(walk(json.loads(s)), ensure_ascii=False, separators=(",", ":"))
 
-    @F.pandas_udf(T.StringType())
     def redacted(s: pd.Series) -> pd.Series:
         return s.map(one)
 
+    redacted.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    redacted = F.pandas_udf(redacted, T.StringType())
+
     return redacted
 
 

@@ -107,11 +107,12 @@ def resample(df: DataFrame, stream: str, order: str, samples: str, rate_in: int,
     Each input sample makes the outputs that fall between it and the next, so no join is needed."""
     start = F.coalesce(F.sum(F.size(samples)).over(before([stream], [order])), F.lit(0))
     # The window first: in one select with the generator it would run over exploded rows.
-    each = df.withColumn("s", start).select(stream, "s", F.posexplode(samples).alias("p", "x")).select(stream, (F.col("s") + F.col("p")).alias("i"), F.col("x").cast("double").alias("x"))
-    w = Window.partitionBy(stream).orderBy("i")
-    each = each.withColumn("y", F.coalesce(F.lead("x").over(w), F.col("x")))
-    first = F.ceil(F.col("i") * rate_out / rate_in).cast("long")
-    after = F.ceil((F.col("i") + 1) * rate_out / rate_in).cast("long")
+    each = df.withColumn("__s", start).select(stream, "__s", F.posexplode(samples).alias("__p", "__x"))
+    each = each.select(stream, (F.col("__s") + F.col("__p")).alias("__i"), F.col("__x").cast("double").alias("__x"))
+    w = Window.partitionBy(stream).orderBy("__i")
+    each = each.withColumn("__y", F.coalesce(F.lead("__x").over(w), F.col("__x")))
+    first = F.ceil(F.col("__i") * rate_out / rate_in).cast("long")
+    after = F.ceil((F.col("__i") + 1) * rate_out / rate_in).cast("long")
     made = each.withColumn("k", F.explode(F.when(after > first, F.sequence(first, after - 1)).otherwise(F.array().cast("array<bigint>"))))
-    part = F.col("k") * rate_in / rate_out - F.col("i")
-    return made.select(stream, "k", (F.col("x") + (F.col("y") - F.col("x")) * part).alias("value"))
+    part = F.col("k") * rate_in / rate_out - F.col("__i")
+    return made.select(stream, "k", (F.col("__x") + (F.col("__y") - F.col("__x")) * part).alias("value"))
