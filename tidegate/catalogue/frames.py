@@ -152,7 +152,7 @@ def opus_pad(spark, sf_dir):
     return e.select("vec_id", F.size("samples").cast("long").alias("size"), F.round(fr.sum_of(F.col("samples")), 4).alias("total"), F.element_at("samples", -1).cast("double").alias("last_value"))
 
 
-@C.add("SELECT vec_id, 32::BIGINT AS num_frames, 32 * 1000000 // 44100 AS duration_us FROM embeddings")
+@C.add("SELECT vec_id, 32::BIGINT AS num_frames, (32 * 1000000 // 44100)::BIGINT AS duration_us FROM embeddings")
 def frame_metrics(spark, sf_dir):
     e = embeddings(spark, sf_dir)
     return e.select("vec_id", fr.num_frames(F.col("samples"), F.lit(2)).alias("num_frames"), fr.duration_us(F.col("samples"), F.lit(2), F.lit(44_100)).alias("duration_us"))
