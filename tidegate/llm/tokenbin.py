@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm.bpe import encoder
-from tidegate.llm.common import cut, shared_path
+from tidegate.llm.common import cut, delete, shared_path
 
 MAGIC = b"TGSHARD1"
 _HEAD = struct.Struct("<8sIIQQ")
@@ -228,5 +228,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
+    """Writes the shards, reads every document back from them, and deletes them."""
     folder = shared_path(docs.sparkSession, "token-shards")
-    return read_shards(write_shards(docs, folder, vocabulary, end_id))
+    try:
+        return cut(read_shards(write_shards(docs, folder, vocabulary, end_id)))
+    finally:
+        delete(docs.sparkSession, folder)
