@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tidegate.functions import frames, packets, text
+from tidegate.functions import filters, frames, packets, text
 from tidegate.operators import activity, chunker, clocks, fanin, ordering, stats, telemetry
 from tidegate.sources import files
 
@@ -166,3 +166,15 @@ def test_spans_and_as_of(spark):
     assert [r.current for r in found] == [None, 0.5, 0.5, None]
     env = one(spark, telemetry.envelope(F.create_map(F.lit("a"), F.lit("b")), "x.y", F.lit("7")))[0]
     assert env == '{"a":"b","event_type":"x.y","correlation_id":"7"}'
+
+
+def test_filters(spark):
+    ok = lambda url, *rules: one(spark, filters.url_allowed(F.lit(url), list(rules)))[0]
+    assert ok("https://a.com/x/y", "https://a.com/x/*") and ok("https://a.com:81/x", "https://a.com/*") and ok("https://a.com:81/x", "https://a.com:81/*")
+    assert not ok("http://a.com/x", "https://a.com/*") and not ok("https://a.com:80/x", "https://a.com:81/*") and not ok("https://b.com/x", "https://a.com/*") and not ok("https://a.com/x") and not ok("nonsense", "https://a.com/*")
+    data = lambda b: one(spark, filters.audio_packet(F.lit(bytearray(b))))[0]
+    assert data(b"x" * 10) and not data(b"x" * 9) and not data(b"OpusHead12345") and not data(b"OpusTags12345")
+    step = lambda a, b: one(spark, filters.may_follow(F.lit(a).cast("string"), F.lit(b), filters.LIFECYCLE))[0]
+    assert step("Ready", "Running") and step(None, "Ready") and not step("Stopped", "Running") and not step("Ready", "Ready")
+    rows = spark.createDataFrame([(1, i, 0) for i in range(5)], "k long, t long, read long")
+    assert [r.lost for r in telemetry.lagged(rows, "k", ["t"], F.col("read"), 3).orderBy("t").collect()] == [0, 0, 0, 1, 2]

@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegate.catalogue.common import Catalogue, micros, r6, table
+from tidegate.functions.filters import may_follow
 from tidegate.functions.text import glob_any, kind_in
 from tidegate.operators import activity, clocks, fanin, telemetry
+from tidegate.operators.ordering import ordered
 
 C = Catalogue()
 QUERIES, ORACLE_SQL = C.queries, C.sql
@@ -234,3 +236,21 @@ def stt_segments_max(spark, sf_dir):
     """Segments that also close after three days; an open one is flushed at the end."""
     e = events(spark, sf_dir).withColumn("speech", F.col("event_type").isin("view", "click"))
     return activity.segments_with_limit(e, "user_id", "at", "event_id", "speech", 3, 72 * HOUR)
+
+
+@C.add("""WITH s AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sent FROM events)
+SELECT event_id, user_id, sent, greatest(sent - (sent // 2) - 16, 0)::BIGINT AS lost FROM s""")
+def broadcast_lag(spark, sf_dir):
+    """A subscriber that reads every second packet, on a ring of 16."""
+    e = events(spark, sf_dir).withColumn("k", F.row_number().over(ordered(["user_id"], ORDER)))
+    got = telemetry.lagged(e, "user_id", ORDER, F.floor(F.col("k") / 2), 16)
+    return got.select("event_id", "user_id", "sent", "lost")
+
+
+@C.add("""WITH t AS (SELECT event_id, user_id, event_type AS state, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events)
+SELECT event_id, user_id, previous, state FROM t WHERE previous IS NOT NULL AND NOT ((previous = 'signup' AND state IN ('view', 'error')) OR (previous = 'view' AND state IN ('click', 'error', 'view')) OR (previous = 'click' AND state IN ('purchase', 'view', 'error')))""")
+def lifecycle_check(spark, sf_dir):
+    """State changes that a table of allowed ones doesn't have."""
+    allowed = {"signup": ("view", "error"), "view": ("click", "error", "view"), "click": ("purchase", "view", "error"), "purchase": (), "error": ()}
+    e = events(spark, sf_dir).withColumn("state", F.col("event_type")).withColumn("previous", F.lag("event_type").over(ordered(["user_id"], ORDER)))
+    return e.where(F.col("previous").isNotNull() & ~may_follow(F.col("previous"), F.col("state"), allowed)).select("event_id", "user_id", "previous", "state")

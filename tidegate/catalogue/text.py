@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegate.catalogue.common import Catalogue, table
-from tidegate.functions import packets, text
+from tidegate.functions import filters, packets, text
 from tidegate.operators import chunker, telemetry
 from tidegate.sources import files
 
@@ -145,3 +145,28 @@ def fetch_chunks(spark, sf_dir):
     """A fetched body in chunks of one size and a remainder."""
     got = files.chunked(table(spark, sf_dir, "pages"), F.encode("html", "UTF-8"), 4096, "page_id")
     return got.select("page_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.octet_length("data").cast("long").alias("n_bytes"))
+
+
+@C.add("""SELECT page_id, starts_with(url, 'https://thther.example.org/en/') OR starts_with(url, 'http://therha.example.com/') OR starts_with(url, 'https://therin.example.net/en/') AS permitted FROM pages""")
+def url_allow_list(spark, sf_dir):
+    rules = ["https://thther.example.org/en/*", "http://therha.example.com/*", "https://therin.example.net/en/*"]
+    return table(spark, sf_dir, "pages").select("page_id", filters.url_allowed(F.col("url"), rules).alias("permitted"))
+
+
+@C.add("SELECT conv_id, turn FROM conversations WHERE strlen(text) >= 10 AND NOT starts_with(text, 'OpusHead') AND NOT starts_with(text, 'OpusTags')")
+def small_packet_skip(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("data", F.encode("text", "UTF-8"))
+    return rows.where(filters.audio_packet(F.col("data"))).select("conv_id", "turn")
+
+
+@C.add("SELECT conv_id, turn FROM conversations WHERE turn % 3 = 0")
+def track_filter(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where(filters.default_track(F.col("turn") % 3)).select("conv_id", "turn")
+
+
+@C.add("""SELECT doc_id, 'stt.result' AS event_type, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS text_preview, strlen(text)::BIGINT AS text_length,
+len(string_split(text, chr(10)))::BIGINT AS segment_count, lang AS language FROM documents WHERE text IS NOT NULL""")
+def stt_result_events(spark, sf_dir):
+    """Documents act as transcriptions, their lines as segments."""
+    rows = table(spark, sf_dir, "documents").where("text is not null")
+    return telemetry.transcription_events(rows, F.col("text"), F.split("text", "\n"), F.col("lang"), "doc_id")

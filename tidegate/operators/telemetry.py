@@ -26,6 +26,18 @@ def custom_events(packets: DataFrame, kind: Column, patterns: list[str], vad: bo
     return rows.where(glob_any(F.col("event_type"), patterns))
 
 
+def transcription_events(packets: DataFrame, text: Column, segments: Column, language: Column, *keep: str) -> DataFrame:
+    """`stt.result`: a preview, the text's length in bytes, the number of segments, and the language."""
+    return packets.select(*keep, F.lit("stt.result").alias("event_type"), preview(text, PREVIEW).alias("text_preview"), F.octet_length(text).cast("long").alias("text_length"), F.size(segments).cast("long").alias("segment_count"), language.alias("language"))
+
+
+def lagged(df: DataFrame, stream: str, order: list[str], read: Column, capacity: int) -> DataFrame:
+    """Packets that a subscriber of a broadcast ring misses. read: how many packets it had read when each was sent; one
+    that is more than `capacity` behind loses what has been overwritten: lost counts those packets."""
+    rows = df.withColumn("sent", F.row_number().over(ordered([stream], order)).cast("long"))
+    return rows.withColumn("lost", F.greatest(F.col("sent") - read - capacity, F.lit(0)).cast("long"))
+
+
 def envelope(data: Column, event_type: str, correlation: Column | None = None) -> Column:
     """A string-valued map as an event: its type and ids join it."""
     extra = [F.lit("event_type"), F.lit(event_type)]
