@@ -44,8 +44,8 @@ def rechunk(df: DataFrame, stream: str, order: str, samples: str, size: int) ->
     # The window first: in one select with the generator it would run over exploded rows.
     each = df.withColumn("__start", start).select(stream, "__start", F.posexplode(samples).alias("__pos", "__x"))
     at = F.col("__start") + F.col("__pos")
-    each = each.select(stream, F.floor(at / size).alias("chunk"), F.struct((at % size).alias("i"), F.col("__x").alias("x")).alias("s"))
-    return each.groupBy(stream, "chunk").agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]).alias(samples))
+    each = each.select(stream, F.floor(at / size).alias("chunk"), F.struct((at % size).alias("i"), F.col("__x").alias("x")).alias("__s"))
+    return each.groupBy(stream, "chunk").agg(F.transform(F.sort_array(F.collect_list("__s")), lambda s: s["x"]).alias(samples))
 
 
 def fold(df: DataFrame, stream: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
