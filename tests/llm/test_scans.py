@@ -112,6 +112,9 @@ def test_templates(spark, frame, empty):
     got = {(r.doc_id, r.item_id): r for r in contaminated(frame(texts), items).collect()}
     assert {(0, 1), (1, 1), (6, 3)} <= set(got) and {k[0] for k in got} <= {0, 1, 2, 6}
     assert got[0, 1].coverage == 1.0 and got[0, 1].n_changed == 0 < got[1, 1].n_changed
+    long = spark.createDataFrame([(9, " ".join(f"w{k}x" for k in range(60)))], "item_id long, text string")
+    parts = [" ".join(f"w{k}x" for k in range(a, b)) for a, b in ((20, 34), (20, 32))]
+    assert [(r.doc_id, r.item_id) for r in contaminated(frame(parts), long).collect()] == [(0, 9)]
     kept = clean(frame(texts), items)
     assert kept.columns == frame(texts).columns
     assert {r.doc_id for r in kept.collect()} == set(range(9)) - {k[0] for k in got}

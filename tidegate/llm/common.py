@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,13 @@ def id_crc(id_col: str) -> "F.Column":
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
 
 
+def slices(batches: "Iterator[pa.RecordBatch]", rows: int = 1024) -> "Iterator[pa.RecordBatch]":
+    """Arrow batches in parts, so that a worker holds few texts as Python strings at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def chunks(texts: list[str], budget: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most about `budget` characters each (one row at least)."""
     start, size = 0, 0

@@ -6,7 +6,7 @@ hash-joined with the windows of the benchmark's items; an item of fewer words ha
 on one diagonal is then checked slot by slot: a value of the item must stand for one and the same value of the document
 wherever it comes, and two values for two, so that a question with other numbers and names is caught and a text that
 merely has numbers in the same places is not. A pair of document and item is reported if windows that agree cover at least
-half of the item's words.
+half of the item's words, or RUN of them in a row.
 
 Benchmark windows are broadcast only while they are at most BLOCK; a larger benchmark is joined in blocks of items, each
 against all documents.
@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.llm.common import slices
 from tidegate.llm.words import Words, blocks, windows
 
-WINDOW, LEAST, COVERAGE = 8, 5, 0.5
+WINDOW, LEAST, COVERAGE, RUN = 8, 5, 0.5, 13
 BLOCK = 2_000_000
 NUMBER, UNIT, NAME = 1, 2, 3
 # Unit words that count as such after a number, and number words.
@@ -144,7 +145,13 @@ class Benchmark:
             known[1] += len(slots)
             known[2] += changed
             known[3] = min(known[3], shift + int(np.argmax(covered)))
-        return [(self.ids[k], float(c.mean()), n, changed, first, int(c.sum())) for k, (c, n, changed, first) in sorted(best.items()) if c.mean() >= COVERAGE]
+        return [(self.ids[k], float(c.mean()), n, changed, first, int(c.sum())) for k, (c, n, changed, first) in sorted(best.items()) if c.mean() >= COVERAGE or longest(c) >= RUN]
+
+
+def longest(covered: np.ndarray) -> int:
+    """Length of the longest run."""
+    edge = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
+    return int((edge[1::2] - edge[::2]).max()) if len(edge) else 0
 
 
 def literal(kinds: np.ndarray, n: int) -> np.ndarray:
@@ -170,7 +177,7 @@ def _matches(docs: DataFrame, part: Benchmark) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(part)  # at most about BLOCK windows
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, out = b.column(0).to_pylist(), []
             for i, w in blocks(b.column(1).to_pylist()):
                 t = Templates(w)
@@ -202,7 +209,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 good: list[bool] = []
                 for _, w in blocks(b.column(at).to_pylist()):
                     t = Templates(w)
