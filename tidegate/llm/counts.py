@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm.bpe import encoder
-from tidegate.llm.common import chunks
+from tidegate.llm.common import chunks, slices
 
 _BLOCK = 1 << 20
 _REMEMBERED = 200_000
@@ -140,7 +140,7 @@ def edited_counts(docs: DataFrame, vocabulary: str, pattern: str, edits=sample_e
         import regex
 
         compiled = regex.compile(pattern)
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in trees([t or "" for t in b.column(1).to_pylist()], vocabulary, compiled):
                 before, held = t.total, int((t.tree[t.leaves :, 0] > 0).sum())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import chunks, id_crc
+from tidegate.llm.common import chunks, id_crc, slices
 
 PROFILE = 300
 LONGEST = 3
@@ -94,7 +94,7 @@ def profiles(rows: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
             lang = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
             return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate([p[1] for p in parts]).astype(np.int64)), pa.array(np.concatenate([p[2] for p in parts]))], names=["lang", "gram", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             texts, langs = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), object)
             for i, j in chunks([t or "" for t in texts], 1 << 20):
                 for lang in set(langs[i:j]):
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value, size)
-        for b in batches:
+        for b in slices(batches):
             got = [judge(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([float(g[1]) for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import cut
+from tidegate.llm.common import cut, slices
 from tidegate.llm.components import components, forest
 from tidegate.llm.words import Words, blocks, shingles
 
@@ -83,7 +83,7 @@ def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         ids, texts = b.column(0), b.column(1).to_pylist()
         digests, sizes, signs = [], [], []
         for i, w in blocks(texts):

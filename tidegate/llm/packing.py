@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm.bpe import encoder
-from tidegate.llm.common import cut
+from tidegate.llm.common import cut, slices
 
 
 @dataclass(frozen=True)
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, vocabulary: str, separator: int, tokens: int, id_col
         from pyspark import TaskContext
 
         pid, seen = TaskContext.get().partitionId(), np.zeros(tokens + 1, np.int64)
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for i, got in zip(b.column(0).to_pylist(), encoder(vocabulary).encode([t or "" for t in b.column(1).to_pylist()])):
                 ids = np.append(got, separator).astype("<u4")

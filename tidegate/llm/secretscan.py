@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm.bpe import code_points
-from tidegate.llm.common import chunks
+from tidegate.llm.common import chunks, slices
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -117,7 +117,7 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = scan([t or "" for t in b.column(1).to_pylist()], encoding(vocabulary, pattern))
             n = lambda kind, k: pa.array([sum(s[0] == kind for s in x[k]) for x in got], pa.int64())
             columns = {"doc_id": b.column(0), "n_assign": n("assign", 0), "n_access": n("access", 0), "n_hex": n("hex", 0), "base_sha256": pa.array([hashlib.sha256(joined(x[0]).encode()).hexdigest() for x in got], pa.string()), "spans": pa.array([joined(x[1]) for x in got], pa.string()), "n_random": n("random", 1)}

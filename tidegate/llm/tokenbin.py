@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm.bpe import encoder
-from tidegate.llm.common import cut, delete, shared_path
+from tidegate.llm.common import cut, delete, shared_path, slices
 
 MAGIC = b"TGSHARD1"
 _HEAD = struct.Struct("<8sIIQQ")
@@ -175,7 +175,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_
         from pyspark import TaskContext
 
         ids, sizes, payload = [], [], []
-        for b in batches:
+        for b in slices(batches):
             ids += b.column(0).to_pylist()
             for got in encoder(vocabulary).encode([t or "" for t in b.column(1).to_pylist()]):
                 sizes.append(len(got) + 1)
