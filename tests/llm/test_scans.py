@@ -44,6 +44,20 @@ def test_random_strings_and_known_identifiers():
     assert [secretscan.joined(a) for _, a in got[1:]] == [""] * 7
 
 
+def test_random_strings_of_one_kind_and_parts():
+    rnd = random.Random(12)
+    for letters, size in (("0123456789ABCDEF", 24), ("0123456789ABCDEF", 48), ("0123456789ABCDEF", 50), ("abcdefghijklmnopqrstuvwxyz", 48), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 48)):
+        for _ in range(50):
+            run = "".join(rnd.choice(letters) for _ in range(size))
+            (_, spans), (_, cut) = secretscan.scan([f"key {run} end", f"reports/downloads/documentation/international/{run}"], CODEC)
+            assert secretscan.joined(spans) == f"random:4:{4 + size}", run
+            assert any(k == "random" and b == 46 + size for k, _, b in cut), run
+    beside = "0123456789abcdef0123/qJ8zK2vX9pL4mN7rT1wY6bD3"
+    assert secretscan.joined(secretscan.scan([beside], CODEC)[0][1]) == "hex:0:20,random:20:45"
+    plain = ["internationalization", "Rechtsschutzversicherungsgesellschaften", "repo/commit-message/some-directory/file", "0x" + "9233A8EC" * 4, "12345678901234567890123"]
+    assert not any(k == "random" for _, a in secretscan.scan(plain, CODEC) for k, _, _ in a)
+
+
 def test_secret_query(frame, empty):
     args = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rows = sorted(secretscan.find_secrets(frame([None, "", "token=abcdefghijklmn", "token=abcdefghijklmn"]), *args).collect())

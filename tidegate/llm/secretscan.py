@@ -2,9 +2,9 @@
 
 Three base patterns find assignments, access keys and hexadecimal runs. Beside them, any run of 20 or more characters of
 keys and encodings (letters, digits, + / _ = -) is tokenised with a tiktoken vocabulary: text that people write takes few
-tokens for its characters, a random string takes many. A run that yields fewer than RATIO characters a token, mixes letters
-with digits or cases, and lies outside every base span is reported as `random`, unless it is a known kind of digest or
-identifier: hexadecimal of a digest's length, a UUID, a decimal number, a word or words joined by signs, or a date.
+tokens for its characters, a random string takes many. What base spans leave of a run is reported as `random` if it yields
+fewer than RATIO characters a token, unless it is a known kind of digest or identifier: hexadecimal of a digest's length, a
+UUID, a decimal number, words joined by signs, or a date. Where it isn't reported, its parts between / _ = - are tested.
 
 Defined results: a null text counts as empty and has no spans; the same text always gives the same spans; null ids are
 kept; other columns are ignored; an empty table gives an empty result. Offsets are code points, ends exclusive.
@@ -33,8 +33,10 @@ HINTS = ("passw", "secret", "token", "api")
 RATIO, SHORTEST = 2.2, 20
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
-_KNOWN = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[-+/_=0-9]*|([-+/_=]*([A-Z]?[a-z]+|[A-Z]+)[-+/_=]*[0-9]{0,4}[-+/_=]*)(?:[-+/_=]+([A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-+/_=]*")
-_HEX = re.compile(r"(?:0x)?(?:[0-9a-f]+|[0-9A-F]+)")
+_IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[-+/_=0-9]*")
+_JOINED = re.compile(r"[-+/_=]*([A-Z]?[a-z]+|[A-Z]+)[-+/_=]*[0-9]{0,4}[-+/_=]*(?:[-+/_=]+([A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-+/_=]*")
+_PART = re.compile(r"[^/_=-]+")
+_HEX = re.compile(r"(?:0x)?([0-9a-f]+|[0-9A-F]+)")
 _BLOCK = 1 << 20
 
 
@@ -64,17 +66,37 @@ def runs(member: np.ndarray, least: int) -> list[tuple[int, int]]:
 
 def known(run: str) -> bool:
     """Digests and identifiers, which may look random without being secret."""
-    if _HEX.fullmatch(run):
-        return True  # a digest's length, or a number; lower-case runs are base spans already
-    return _KNOWN.fullmatch(run) is not None
+    digest = _HEX.fullmatch(run)
+    return digest is not None and len(digest[1]) in DIGESTS or _IDENTIFIER.fullmatch(run) is not None
 
 
 def random_run(run: str, codec) -> bool:
     bare = run.strip("=-_/+")
     if len(bare) < SHORTEST or known(bare):
         return False
-    kinds = any(c.isdigit() for c in bare) + any(c.islower() for c in bare) + any(c.isupper() for c in bare)
-    return kinds > 1 and len(bare) < RATIO * len(codec.encode_ordinary(bare))
+    if _PART.fullmatch(bare) is None and _JOINED.fullmatch(bare):
+        return False  # its words are tested one by one
+    return len(bare) < RATIO * len(codec.encode_ordinary(bare))
+
+
+def random_spans(text: str, a: int, b: int, base: list[tuple[str, int, int]], codec) -> list[tuple[str, int, int]]:
+    """Spans of a run from a to b: of each piece that base spans leave, the whole or else parts."""
+    if known(text[a:b].strip("=-_/+")):
+        return []
+    pieces = []
+    for _, s, e in sorted(base, key=lambda x: x[1]):
+        if a < e and s < b:
+            pieces.append((a, s))
+            a = e
+    out = []
+    for i, j in [*pieces, (a, b)]:
+        if j - i < SHORTEST:
+            continue
+        if random_run(text[i:j], codec):
+            out.append(("random", i, j))
+        else:
+            out += [("random", i + m.start(), i + m.end()) for m in _PART.finditer(text[i:j]) if m.end() - m.start() < j - i and random_run(m[0], codec)]
+    return out
 
 
 def base_spans(text: str, hexes: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
@@ -104,7 +126,7 @@ def scan(texts: list[str], codec) -> list[tuple[list, list]]:
                 split[k][which].append((a - int(starts[k]), b - int(starts[k])))
         for text, (hexes, others) in zip(texts[i:j], split):
             base = base_spans(text, hexes)
-            more = [("random", a, b) for a, b in others if not any(a < e and s < b for _, s, e in base) and random_run(text[a:b], codec)]
+            more = [r for a, b in others for r in random_spans(text, a, b, base, codec)]
             out.append((base, sorted(base + more, key=lambda s: (s[1], ORDER[s[0]], s[2]))))
     return out
 
