@@ -135,3 +135,21 @@ def test_templates(spark, frame, empty):
     assert {(r.doc_id, r.item_id) for r in contaminated(frame(texts), items, block=10).collect()} == set(got)
     assert contaminated(empty, items).count() == 0
     assert contaminated(frame(texts), items.limit(0)).count() == 0
+
+
+def test_other_forms_of_names_and_numbers(spark, frame):
+    pairs = [
+        ("Tom has three red apples. Anna buys five green pears. Later they share the fruit.", "Boris has nine red apples. Clara buys seven green pears. Later they share the fruit."),
+        ("The farm near the river sold 1,200 boxes of ripe plums at 3.5 coins each in one season.", "The farm near the river sold 900 boxes of ripe plums at 4 coins each in two season."),
+        ("There were twenty five birds on the old roof and then fifteen of them flew away.", "There were 40 birds on the old roof and then seventy-two of them flew away."),
+        ("A crate with 25 kg of rice and a sack with 30 kg of beans stood in the hall.", "A crate with 35kg of rice and a sack with 50kg of beans stood in the hall."),
+        ("Tom gave 5 Anna 7 Carl 9 apples and Eve 3 pears", "Jim gave 6 Hanna 8 Kurt 2 apples and Lea 4 pears"),
+        ("yesterday the old baker and Anna walked along the harbour", "yesterday the old baker and\nAnna walked along the harbour"),
+    ]
+    items = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(pairs)], "item_id long, text string")
+    filler = "Plain words of an ordinary text come here in some number.\n"
+    texts = [filler + x + "\n" + filler for a, b in pairs for x in (a, b)] + [filler * 5]
+    got = {(r.doc_id, r.item_id): r for r in contaminated(frame(texts), items).collect()}
+    assert set(got) == {(d, d // 2) for d in range(12)}
+    assert all(got[2 * k, k].n_changed == 0 for k in range(6)) and all(got[2 * k + 1, k].n_changed > 0 for k in range(5))
+    assert all(r.first_word >= 11 for r in got.values())

@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become templates: a number, a unit after a number, and a name (a capitalised word inside a sentence) turn into typed
-placeholders; other words are kept in lower case. Windows of eight template words, over half of them literal, are
-hash-joined with the windows of the benchmark's items; an item of fewer words has one window, all its words. What matches
+Words become templates: a number (1,200, 3.5 and twenty-five are one), a unit after or on a number, and a name (a
+capitalised word) turn into typed placeholders; other words are kept in lower case. A capitalised word that opens a sentence
+may be a name or not, so there are two templates, one with such words as names. Windows of eight template words, over half
+of them literal, are hash-joined with the windows of the benchmark's items; an item of fewer words, or one with too few
+literal words for windows over half of it, has a window of all its words, LITERAL of them literal at least. What matches
 on one diagonal is then checked slot by slot: a value of the item must stand for one and the same value of the document
 wherever it comes, and two values for two, so that a question with other numbers and names is caught and a text that
 merely has numbers in the same places is not. A pair of document and item is reported if windows that agree cover at least
@@ -28,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.llm.bpe import Powers, span_hashes
 from tidegate.llm.common import slices
-from tidegate.llm.words import Words, blocks, windows
+from tidegate.llm.words import Words, blocks, fold_table, windows
 
-WINDOW, LEAST, COVERAGE, RUN = 8, 5, 0.5, 13
+WINDOW, LEAST, LITERAL, COVERAGE, RUN = 8, 5, 3, 0.5, 13
 BLOCK = 2_000_000
 NUMBER, UNIT, NAME = 1, 2, 3
 # Unit words that count as such after a number, and number words.
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles meter meters metre metres foot feet inch inches yard yards second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros pound pounds percent degree degrees liter liters litre litres ml l mph kmh watt watts volt volts".split()
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
+_POWERS = Powers()
 _PLACE = np.array([0, 0x1F0D3A5C9B7E2468, 0x2E1C4B7A5D8F1369, 0x3D2B6C8E9FA01472], np.uint64)
 
 
@@ -58,94 +62,140 @@ def _word_hashes() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Templates:
-    """Template words of a block of texts: kind of each word (0: literal), and its hash or its placeholder's."""
+    """Template words of a block of texts: kind of each word (0: literal), and its hash or its placeholder's; both for
+    capitalised words that open sentences as literal words and as names."""
 
     def __init__(self, w: Words) -> None:
         digit, capital, end = _kinds()
-        self.words = w
-        n = len(w.begins)
-        first = w.points[w.begins]
         units, numbers = _word_hashes()
-        number = digit[first] | np.isin(w.hashes, numbers)
-        after = np.append(False, number[:-1]) if n else number
-        unit = after & ~number & np.isin(w.hashes, units)
-        ends = np.append(0, np.cumsum(end[w.points]))
-        opens = np.ones(n, bool)
-        opens[1:] = ends[w.begins[1:]] > ends[w.ends[:-1]]
-        opens[w.first[:-1][w.first[:-1] < n]] = True
-        long = w.ends - w.begins > 1
-        second = w.points[np.minimum(w.begins + 1, max(len(w.points) - 1, 0))] if n else first
-        name = capital[first] & ~opens & long & ~capital[second]
-        self.kinds = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, 0)))
-        self.templates = np.where(self.kinds > 0, _PLACE[self.kinds], w.hashes)
-
-    def of(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Templates, kinds and values of text k."""
-        own = slice(self.words.first[k], self.words.first[k + 1])
-        return self.templates[own], self.kinds[own], self.words.hashes[own]
+        begins, ends, hashes, word = w.begins, w.ends, w.hashes, np.arange(len(w.begins))
+        # A unit on a number (25kg) is a word of its own.
+        mixed = np.flatnonzero(digit[w.points[begins]] & ~digit[w.points[ends - 1]])
+        if len(mixed):
+            others = np.flatnonzero(~digit[w.points])
+            at = others[np.searchsorted(others, begins[mixed])]
+            points = fold_table()[0][w.points]
+            own = span_hashes(points, at, ends[mixed], _POWERS)
+            told = np.isin(own, units)
+            mixed, at, own = mixed[told], at[told], own[told]
+            hashes = hashes.copy()
+            hashes[mixed] = span_hashes(points, begins[mixed], at, _POWERS)
+            hashes, word = np.insert(hashes, mixed + 1, own), np.insert(word, mixed + 1, mixed)
+            begins, ends = np.insert(begins, mixed + 1, at), np.insert(ends, mixed, at)
+        n = len(begins)
+        starts = np.searchsorted(begins, w.starts)
+        head = np.zeros(n, bool)
+        head[starts[starts < n]] = True
+        head[:1] = True
+        first = w.points[begins]
+        digits, spoken = digit[first], np.isin(hashes, numbers)
+        number = digits | spoken
+        after = np.append(False, number[:-1])[:n] & ~head
+        unit = after & ~number & np.isin(hashes, units)
+        sums = np.append(0, np.cumsum(end[w.points]))
+        opens = head.copy()
+        opens[1:] |= sums[begins[1:]] > sums[ends[:-1]]
+        long = ends - begins > 1
+        second = w.points[np.minimum(begins + 1, max(len(w.points) - 1, 0))] if n else first
+        name = capital[first] & long & ~capital[second]
+        # Parts of one number: 1,200 and 3.5; twenty-five, two hundred, 3 million.
+        part = np.zeros(n, bool)
+        gap = w.points[ends[:-1]]
+        near = (begins[1:] - ends[:-1] == 1) & after[1:]
+        part[1:] = near & (digits[1:] & digits[:-1] & np.isin(gap, [44, 46]) | spoken[1:] & np.isin(gap, [32, 45]))
+        kept = np.flatnonzero(~part)
+        with np.errstate(over="ignore"):
+            nth = np.arange(n) - np.maximum.accumulate(np.where(part, 0, np.arange(n)))
+            values = np.add.reduceat(hashes * (2 * nth + 1).astype(np.uint64), kept) if n else hashes
+        kinds = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name & ~opens, NAME, 0)))[kept]
+        self.values, self.word = values, word[kept]
+        self.variants = []
+        for own in (kinds, np.where((kinds == 0) & name[kept], NAME, kinds)):
+            self.variants.append((np.where(own > 0, _PLACE[own], values), own))
+        self.first = np.searchsorted(begins[kept], w.starts)
+        self.head = w.first
+
+    def of(self, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+        """Of text k: templates and kinds, twice or, if there is no difference, once; values; and the words' numbers."""
+        own = slice(self.first[k], self.first[k + 1])
+        both = [(t[own], kinds[own]) for t, kinds in self.variants]
+        return both[: 1 if np.array_equal(both[0][1], both[1][1]) else 2], self.values[own], self.word[own] - self.head[k]
 
 
 class Benchmark:
     """Items as templates, and their windows by hash. Pickles small; executors sort the windows anew."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.ids, self.parts = [], []
+        self.ids, self.parts, self.spread = [], [], []
         for i, w in blocks([t for _, t in items]):
             found = Templates(w)
             for k in range(len(w.first) - 1):
                 part = found.of(k)
-                if len(part[0]) >= LEAST:
+                if w.first[k + 1] - w.first[k] >= LEAST:
                     self.ids.append(items[i + k][0])
                     self.parts.append(part)
-        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for n in sorted({min(WINDOW, len(p[0])) for p in self.parts}):
-            keys, item, at = [], [], []
-            for k, (templates, kinds, _) in enumerate(self.parts):
-                if min(WINDOW, len(templates)) == n:
-                    own = windows(templates, n)
-                    told = literal(kinds, n)
-                    keys.append(own[told])
-                    item.append(np.full(int(told.sum()), k))
-                    at.append(np.flatnonzero(told))
-            keys, item, at = np.concatenate(keys), np.concatenate(item), np.concatenate(at)
+                    self.spread.append(np.diff(np.append(part[2], w.first[k + 1] - w.first[k])))  # words of each
+        rows: dict[int, list[tuple[np.ndarray, np.ndarray, int, int]]] = {}
+        for k, (variants, values, _) in enumerate(self.parts):
+            for v, (templates, kinds) in enumerate(variants):
+                n, size = min(WINDOW, len(values)), len(values)
+                at = np.flatnonzero(literal(kinds, n) & (n == WINDOW or (kinds == 0).sum() >= LITERAL))
+                rows.setdefault(n, []).append((windows(templates, n)[at], at, k, v))
+                covered = np.zeros(size, bool)
+                for a in at.tolist():
+                    covered[a : a + n] = True
+                if covered.mean() < COVERAGE and (kinds == 0).sum() >= LITERAL:
+                    rows.setdefault(size, []).append((windows(templates, size), np.zeros(1, np.int64), k, v))
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, own in sorted(rows.items()):
+            keys, at = np.concatenate([r[0] for r in own]), np.concatenate([r[1] for r in own])
+            item, variant = (np.concatenate([np.full(len(r[0]), r[c]) for r in own]) for c in (2, 3))
             order = np.argsort(keys, kind="stable")
-            self.sizes[n] = keys[order], item[order], at[order]
+            self.sizes[n] = keys[order], item[order], at[order], variant[order]
 
-    def find(self, doc: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple]:
+    def find(self, doc: tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]) -> list[tuple]:
         """(item id, coverage, slots, slots that changed, first word, words) of each item that a document contains."""
-        templates, _, values = doc
-        hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for n, (keys, item, at) in self.sizes.items():
-            own = windows(templates, n)
-            if not len(own) or not len(keys):
-                continue
-            near = np.searchsorted(keys, own)
-            near[near == len(keys)] = 0
-            for p in np.flatnonzero(keys[near] == own).tolist():
-                k = int(near[p])
-                while k < len(keys) and keys[k] == own[p]:
-                    hits.setdefault((int(item[k]), p - int(at[k])), []).append((int(at[k]), n))
-                    k += 1
+        variants, values, words = doc
+        hits: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
+        for n, (keys, item, at, variant) in self.sizes.items():
+            for named, (templates, _) in enumerate(variants):
+                own = windows(templates, n)
+                if not len(own) or not len(keys):
+                    continue
+                near = np.searchsorted(keys, own)
+                near[near == len(keys)] = 0
+                for p in np.flatnonzero(keys[near] == own).tolist():
+                    k = int(near[p])
+                    while k < len(keys) and keys[k] == own[p]:
+                        hits.setdefault((int(item[k]), p - int(at[k])), set()).add((max(named, int(variant[k])), int(variant[k]), int(at[k]), n))
+                        k += 1
         best: dict[int, tuple] = {}
         for (k, shift), spans in hits.items():
-            template, kinds, item_values = self.parts[k]
-            covered = np.zeros(len(template), bool)
-            for a, n in spans:
-                covered[a : a + n] = True
-            slots = np.flatnonzero(covered & (kinds > 0))
-            there, back, wrong = {}, {}, 0
-            for s in slots.tolist():
-                a, b = (int(kinds[s]), int(item_values[s])), int(values[s + shift])
-                wrong += there.setdefault(a, b) != b or back.setdefault((a[0], b), a) != a
-            if wrong * 5 > len(slots):
+            both, item_values, _ = self.parts[k]
+            for limit in (1, 0):  # openers that contradict each other as names are literal words
+                kinds = np.zeros(len(item_values), np.int64)
+                covered = np.zeros(len(item_values), bool)
+                for named, v, a, n in sorted(spans, reverse=True):  # literal openers last, where they match
+                    if named <= limit:
+                        covered[a : a + n] = True
+                        kinds[a : a + n] = both[v][1][a : a + n]
+                slots = np.flatnonzero(covered & (kinds > 0))
+                there, back, wrong = {}, {}, 0
+                for s in slots.tolist():
+                    a, b = (int(kinds[s]), int(item_values[s])), int(values[s + shift])
+                    wrong += there.setdefault(a, b) != b or back.setdefault((a[0], b), a) != a
+                if covered.any() and wrong * 5 <= len(slots):
+                    break
+            else:
                 continue
             changed = sum(int(item_values[s]) != int(values[s + shift]) for s in slots.tolist())
-            known = best.setdefault(k, [np.zeros(len(template), bool), 0, 0, 1 << 60])
+            known = best.setdefault(k, [np.zeros(len(item_values), bool), 0, 0, 1 << 60])
             known[0] |= covered
             known[1] += len(slots)
             known[2] += changed
-            known[3] = min(known[3], shift + int(np.argmax(covered)))
-        return [(self.ids[k], float(c.mean()), n, changed, first, int(c.sum())) for k, (c, n, changed, first) in sorted(best.items()) if c.mean() >= COVERAGE or longest(c) >= RUN]
+            known[3] = min(known[3], int(words[shift + int(np.argmax(covered))]))
+        told = [(self.ids[k], np.repeat(c, self.spread[k]), n, changed, first) for k, (c, n, changed, first) in sorted(best.items())]
+        return [(i, float(c.mean()), n, changed, first, int(c.sum())) for i, c, n, changed, first in told if c.mean() >= COVERAGE or longest(c) >= RUN]
 
 
 def longest(covered: np.ndarray) -> int:
