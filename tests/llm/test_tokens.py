@@ -16,8 +16,9 @@ from tidegate.llm.tokenbin import PerfectHash, Shard, round_trip, write_shard
 
 PATH = bpe.vocabulary()
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
-TEXTS = ["it's we'll don't 's ' s", "  two  blanks \n\n x", "", "tab\t\tx 12½ ²", "日本語 テスト　x", "<|endoftext|> a", "naïve café!!! $5.00", "x" * 3000, "a 1 ?" * 2000]
+END = "<|endoftext|>"
+MARKED = [END, f"{END} a", f"a {END}", f"a{END}b", f"{END}{END}", f" {END} {END}  x", f"a  {END}'s", f"it'{END}s", "<|endof", "text|>", f"x {END[:-1]} {END}"]
+TEXTS = [*MARKED, "it's we'll don't 's ' s", "  two  blanks \n\n x", "", "tab\t\tx 12½ ²", "日本語 テスト　x", "naïve café!!! $5.00", "x" * 3000, "a 1 ?" * 2000]
 
 
 def want(text):
@@ -30,6 +31,12 @@ def test_ids_equal_the_library(texts):
     assert [list(x) for x in bpe.encoder(PATH).encode(texts)] == [want(t) for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([END, "<|endof", "text|>", "a", " ", "'s", "'", "\n", "12", "é"]), max_size=12).map("".join), max_size=6))
+def test_added_tokens_are_the_library_s(texts):
+    assert [list(x) for x in bpe.encoder(PATH).encode(texts)] == [want(t) for t in texts]
+
+
 def test_long_texts_and_forgetting():
     e = bpe.ByteBpe(PATH, remembered=50)
     assert [list(x) for x in e.encode(TEXTS)] == [want(t) for t in TEXTS]

@@ -2,8 +2,9 @@
 
 The tokenizers library spends most of its time on cutting texts into pre-tokens and on encoding the same pre-tokens
 again. Here NumPy cuts a block of texts into pre-tokens, each distinct one is encoded once by the library's own model,
-and the ids are gathered by index. The ids equal those of Tokenizer.encode(text, add_special_tokens=False) with
-encode_special_tokens set; tests compare the two.
+and the ids are gathered by index. The ids equal those of Tokenizer.encode(text, add_special_tokens=False): where a text
+holds the string of one of the vocabulary's added tokens, that is cut out first and has the token's own id. Tests compare
+the two.
 """
 
 from __future__ import annotations
@@ -42,12 +43,14 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def starts(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
-    """Where pre-tokens begin. doc_starts: where texts begin; no pre-token crosses these."""
+def starts(points: np.ndarray, doc_starts: np.ndarray, added: np.ndarray) -> np.ndarray:
+    """Where pre-tokens begin. doc_starts: where texts begin; no pre-token crosses these. added: begin and end of each
+    added token, which is a pre-token of its own, between what count as texts of their own."""
     n = len(points)
     kind = _tables()[0][points]
     fresh = np.zeros(n, bool)
     fresh[doc_starts[doc_starts < n]] = True
+    fresh[added[added < n]] = True
     begins = fresh.copy()
     begins[1:] |= kind[1:] != kind[:-1]
     # The last blank before a word stands apart from those before it, and a plain one belongs to the word.
@@ -69,6 +72,8 @@ def starts(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
         begins[marks + 1] = False
         ends = marks + size
         begins[ends[ends < n]] = True
+    for a, b in added.tolist():
+        begins[a + 1 : b] = False
     return np.flatnonzero(begins)
 
 
@@ -113,7 +118,14 @@ class ByteBpe:
     def __init__(self, path: str, remembered: int = 3_000_000) -> None:
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        self.model = whole.model
+        found = whole.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or any(c.isspace() for c in t.content) for t in found.values()):
+            raise ValueError(f"{path}: added tokens with blanks, or that take in what is beside them, aren't supported")
+        #: Ids of the strings of added tokens, and the pattern that finds them, longer ones first.
+        self.added = {t.content: i for i, t in found.items()}
+        self.pattern = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.letters = _byte_letters()
         self.remembered = remembered
         self.powers = Powers()
@@ -124,17 +136,31 @@ class ByteBpe:
         self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.first, self.ids = array("I", [0]), array("H")
 
+    def added_spans(self, text: str, doc_starts: np.ndarray) -> np.ndarray:
+        """Begin and end of each added token; none crosses the beginning of a text."""
+        if not any(a in text for a in self.added):
+            return np.zeros((0, 2), np.int64)
+        bounds = np.append(doc_starts, len(text)).tolist()
+        found = [m.span() for a, b in zip(bounds, bounds[1:]) for m in self.pattern.finditer(text, a, b)]
+        return np.array(found, np.int64).reshape(-1, 2)
+
     def encode_word(self, word: str) -> list[int]:
         return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
     def words(self, text: str, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the pre-tokens of a text (or of texts put together) and the slot of each."""
         points = code_points(text)
-        begins = starts(points, doc_starts)
+        added = self.added_spans(text, doc_starts)
+        begins = starts(points, doc_starts, added)
         if not len(begins):
             return begins, begins
         ends = np.append(begins[1:], len(points))
-        distinct, at, back = np.unique(span_hashes(points, begins, ends, self.powers), return_index=True, return_inverse=True)
+        hashes = span_hashes(points, begins, ends, self.powers)
+        whole = np.zeros(len(begins), bool)
+        if len(added):
+            whole[np.searchsorted(begins, added[:, 0])] = True
+        hashes[whole] = ~hashes[whole]  # the same characters as plain text are another pre-token
+        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > self.remembered:
             self.forget()
         near = np.searchsorted(self.known, distinct)
@@ -145,8 +171,8 @@ class ByteBpe:
         new = np.flatnonzero(~held)
         slots[new] = np.arange(len(new)) + len(self.first) - 1
         encode, ids, first = self.encode_word, self.ids, self.first
-        for i, j in zip(begins[at[new]].tolist(), ends[at[new]].tolist()):
-            ids.extend(encode(text[i:j]))
+        for i, j, own in zip(begins[at[new]].tolist(), ends[at[new]].tolist(), whole[at[new]].tolist()):
+            ids.extend([self.added[text[i:j]]] if own else encode(text[i:j]))
             first.append(len(ids))
         self.known = np.insert(self.known, near[new], distinct[new])
         self.slot = np.insert(self.slot, near[new], slots[new])

@@ -1,18 +1,24 @@
 """Edit-aware token counts.
 
-Each document keeps a segment tree over its pre-tokens; a leaf holds a pre-token's characters and ids, an inner node the
-sums below it. An edit finds the leaves that it touches by descent, widens them to the nearest places on both sides where
-the pre-tokens before and after can't depend on each other (a blank between two words, untouched by the edit), encodes
-that region alone, and updates the sums above the changed leaves. The count is the root's.
+Each document keeps a segment tree over its pre-tokens. A leaf holds some pre-tokens in a row, with their characters and
+ids; an inner node holds the sums below it. An edit finds the leaves that it touches by descent, widens to the nearest
+places on both sides where the pre-tokens before and after can't depend on each other (a blank between two words, untouched
+by the edit), encodes that region alone, and updates the sums above the changed leaves. The count is the root's.
+
+A leaf has at most a bound of pre-tokens that grows with the square root of the text; where an edit outgrows it, the tree is
+dealt out anew. So an edit copies and encodes a few leaves, never the text.
 
 Defined results: a null or empty text has no ids, and can be edited; edits are clipped to the text; repeated rows are
-counted each; null ids are kept; other columns are ignored; an empty table gives an empty result.
+counted each; null ids are kept; other columns are ignored; an empty table gives an empty result; a string of an added
+token of the vocabulary counts as that token, as in the library.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,90 +30,141 @@ from tidegate.llm.common import chunks, slices
 
 _BLOCK = 1 << 20
 _REMEMBERED = 200_000
+#: Pre-tokens of a leaf when the tree is dealt out; it may grow to twice as many.
+LEAF = 32
 _SIZES: dict[str, dict[str, int]] = {}
 
 
 def region_sizes(text: str, vocabulary: str, pattern) -> tuple[list[int], list[int]]:
     """Characters and ids of the pre-tokens of a short text."""
-    words = pattern.findall(text)
+    e = encoder(vocabulary)
     held = _SIZES.setdefault(vocabulary, {})
     if len(held) > _REMEMBERED:
         held.clear()
-    encode = encoder(vocabulary).encode_word
-    sizes = []
-    for w in words:
-        n = held.get(w)
-        if n is None:
-            n = held[w] = len(encode(w))
-        sizes.append(n)
-    return [len(w) for w in words], sizes
+    chars, sizes, at = [], [], 0
+    for a, b in [*e.added_spans(text, np.zeros(1, np.int64)).tolist(), (len(text), len(text))]:
+        for w in pattern.findall(text[at:a]):
+            n = held.get(w)
+            if n is None:
+                n = held[w] = len(e.encode_word(w))
+            chars.append(len(w))
+            sizes.append(n)
+        if b > a:
+            chars.append(b - a)
+            sizes.append(1)
+        at = b
+    return chars, sizes
 
 
 class CountTree:
     """chars and ids: of each pre-token of the text."""
 
-    def __init__(self, text: str, chars: np.ndarray, ids: np.ndarray, vocabulary: str, pattern) -> None:
-        self.text, self.vocabulary, self.pattern = text, vocabulary, pattern
-        self.leaves = 1 << max(len(chars) - 1, 0).bit_length()
-        #: Node 1 is the root, node n has the children 2n and 2n + 1; one column for characters, one for ids.
-        self.tree = np.zeros((2 * self.leaves, 2), np.int64)
-        self.tree[self.leaves : self.leaves + len(chars), 0] = chars
-        self.tree[self.leaves : self.leaves + len(ids), 1] = ids
-        level = self.leaves
-        while level > 1:
-            self.tree[level // 2 : level] = self.tree[level : 2 * level : 2] + self.tree[level + 1 : 2 * level : 2]
-            level //= 2
-        self.encoded = 0
+    def __init__(self, text: str, chars: list[int], ids: list[int], vocabulary: str, pattern) -> None:
+        self.vocabulary, self.pattern, self.encoded = vocabulary, pattern, 0
+        self._deal(text, chars, ids)
+
+    def _deal(self, text: str, chars: list[int], ids: list[int]) -> None:
+        each = max(LEAF, isqrt(len(chars)))
+        self.bound = 2 * each
+        cuts = range(0, max(len(chars), 1), each)
+        self.leaves = 1 << (len(cuts) - 1).bit_length()
+        #: Of each leaf: its text, and the characters and ids of its pre-tokens.
+        self.parts: list[tuple[str, list[int], list[int]]] = []
+        at = 0
+        for k in cuts:
+            own = chars[k : k + each]
+            size = sum(own)
+            self.parts.append((text[at : at + size], own, ids[k : k + each]))
+            at += size
+        self.parts += [("", [], [])] * (self.leaves - len(cuts))
+        #: Node 1 is the root, node n has the children 2n and 2n + 1: sums of characters, ids and pre-tokens.
+        self.tree = [(0, 0, 0)] * self.leaves + [(len(t), sum(i), len(c)) for t, c, i in self.parts]
+        for n in range(self.leaves - 1, 0, -1):
+            self._sum(n)
+
+    def _sum(self, n: int) -> None:
+        a, b = self.tree[2 * n], self.tree[2 * n + 1]
+        self.tree[n] = a[0] + b[0], a[1] + b[1], a[2] + b[2]
 
     @property
     def total(self) -> int:
-        return int(self.tree[1, 1])
+        return self.tree[1][1]
+
+    @property
+    def length(self) -> int:
+        return self.tree[1][0]
+
+    @property
+    def pretokens(self) -> int:
+        return self.tree[1][2]
+
+    @property
+    def text(self) -> str:
+        return "".join(p[0] for p in self.parts)
 
     def leaf(self, place: int) -> tuple[int, int]:
         """The leaf that holds a character (the last one with any, for the text's end), and where it begins."""
         node, at = 1, 0
-        tree = self.tree
         while node < self.leaves:
             node *= 2
-            left = int(tree[node, 0])
-            if place - at >= left and tree[node + 1, 0] > 0:
+            left = self.tree[node][0]
+            if place - at >= left and self.tree[node + 1][0] > 0:
                 at += left
                 node += 1
         return node - self.leaves, at
 
-    def _apart(self, p: int) -> bool:
-        """Whether the pre-tokens before p and from p on don't depend on each other."""
-        t = self.text
-        return p in (0, len(t)) or (0 < p < len(t) - 1 and t[p] == " " and t[p + 1].isalpha() and not t[p - 1].isspace())
-
     def edit(self, start: int, end: int, new: str) -> None:
         """Replaces text[start:end]."""
-        size = len(self.text)
+        size = self.length
         start = min(max(start, 0), size)
         end = min(max(end, start), size)
-        first, a = self.leaf(max(start - 2, 0))
-        while a and not (a + 2 <= start and self._apart(a)):
-            first, a = self.leaf(a - 1)
-        last, b = self.leaf(max(end, 0))
-        b += int(self.tree[self.leaves + last, 0])
-        while b < size and not (b > end and self._apart(b)):
-            last, b = self.leaf(b)
-            b += int(self.tree[self.leaves + last, 0])
-        region = self.text[a:start] + new + self.text[end:b]
-        self.text = self.text[:a] + region + self.text[b:]
-        chars, ids = region_sizes(region, self.vocabulary, self.pattern)
-        self.encoded += len(chars)
-        # One leaf for each pre-token; the last leaf takes the rest, and leaves without one are empty.
+        first, base = self.leaf(max(start - 2, 0))
+        last, _ = self.leaf(end)
+        step = 1
+        while True:
+            own = self.parts[first : last + 1]
+            text = "".join(p[0] for p in own)
+            chars, ids = [c for p in own for c in p[1]], [i for p in own for i in p[2]]
+            bounds = [0, *accumulate(chars)]
+            # Whether pre-tokens before and from a bound on don't depend on each other.
+            apart = lambda p: 0 < p < len(text) - 1 and text[p] == " " and text[p + 1].isalpha() and not text[p - 1].isspace()
+            lo = next((k for k in range(len(bounds) - 1, -1, -1) if bounds[k] + 2 <= start - base and apart(bounds[k])), None)
+            hi = next((k for k, p in enumerate(bounds) if p > end - base and apart(p)), None)
+            left, right = lo is None and base > 0, hi is None and base + len(text) < size
+            if not left and not right:
+                break
+            if left:
+                more = max(first - step, 0)
+                base -= sum(len(p[0]) for p in self.parts[more:first])
+                first = more
+            if right:
+                last = min(last + step, self.leaves - 1)
+            step *= 2
+        lo, hi = 0 if lo is None else lo, len(chars) if hi is None else hi
+        region = text[bounds[lo] : start - base] + new + text[end - base : bounds[hi]]
+        made_chars, made_ids = region_sizes(region, self.vocabulary, self.pattern)
+        self.encoded += len(made_chars)
+        text = text[: bounds[lo]] + region + text[bounds[hi] :]
+        chars[lo:hi], ids[lo:hi] = made_chars, made_ids
         room = last - first + 1
-        if len(chars) > room:
-            chars, ids = [*chars[: room - 1], sum(chars[room - 1 :])], [*ids[: room - 1], sum(ids[room - 1 :])]
-        lo, hi = self.leaves + first, self.leaves + last + 1
-        self.tree[lo:hi] = 0
-        self.tree[lo : lo + len(chars), 0] = chars
-        self.tree[lo : lo + len(ids), 1] = ids
-        while lo > 1:
-            lo, hi = lo // 2, (hi + 1) // 2
-            self.tree[lo:hi] = self.tree[2 * lo : 2 * hi : 2] + self.tree[2 * lo + 1 : 2 * hi : 2]
+        each = -(-len(chars) // room)
+        if each > self.bound:
+            before, after = self.parts[:first], self.parts[last + 1 :]
+            text = "".join([*(p[0] for p in before), text, *(p[0] for p in after)])
+            self._deal(text, *([x for p in before for x in p[c]] + mid + [x for p in after for x in p[c]] for c, mid in ((1, chars), (2, ids))))
+            return
+        at = 0
+        for k in range(room):
+            own_chars, own_ids = chars[k * each : (k + 1) * each], ids[k * each : (k + 1) * each]
+            n = sum(own_chars)
+            self.parts[first + k] = text[at : at + n], own_chars, own_ids
+            self.tree[self.leaves + first + k] = n, sum(own_ids), len(own_chars)
+            at += n
+        lo, hi = (self.leaves + first) // 2, (self.leaves + last) // 2
+        while lo:
+            for n in range(lo, hi + 1):
+                self._sum(n)
+            lo, hi = lo // 2, hi // 2
 
 
 def trees(texts: list[str], vocabulary: str, pattern) -> Iterator[CountTree]:
@@ -116,8 +173,8 @@ def trees(texts: list[str], vocabulary: str, pattern) -> Iterator[CountTree]:
         lengths = np.fromiter(map(len, texts[i:j]), np.int64, j - i)
         starts = np.append(0, np.cumsum(lengths))
         begins, slots = e.words("".join(texts[i:j]), starts[:-1])
-        sizes = e.sizes(slots) if len(slots) else np.zeros(0, np.int64)
-        chars = np.diff(np.append(begins, starts[-1]))
+        sizes = e.sizes(slots).tolist() if len(slots) else []
+        chars = np.diff(np.append(begins, starts[-1])).tolist()
         first = np.searchsorted(begins, starts)
         for k in range(j - i):
             own = slice(first[k], first[k + 1])
@@ -142,12 +199,13 @@ def edited_counts(docs: DataFrame, vocabulary: str, pattern: str, edits=sample_e
         compiled = regex.compile(pattern)
         for b in slices(batches):
             out = []
-            for t in trees([t or "" for t in b.column(1).to_pylist()], vocabulary, compiled):
-                before, held = t.total, int((t.tree[t.leaves :, 0] > 0).sum())
-                made = edits(t.text)
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for text, t in zip(texts, trees(texts, vocabulary, compiled)):
+                before, held = t.total, t.pretokens
+                made = edits(text)
                 for e in made:
                     t.edit(*e)
-                out.append((held, before, len(made), t.encoded, t.total, len(t.text)))
+                out.append((held, before, len(made), t.encoded, t.total, t.length))
             names = ["n_pretokens", "n_tokens", "n_edits", "n_reencoded", "n_tokens_after", "n_chars_after"]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * len(names)))], names=["doc_id", *names])
 

@@ -6,8 +6,10 @@ dot product of demand and residual, among those with room in all three; a new se
 
 A piece's demand depends on its length alone, so the plan needs no more than the number of pieces of each length (at most
 as many counts as a sequence has tokens). Sequences that look alike are planned together, which keeps the plan at some
-thousand entries whatever the input's size, and equal to what one-by-one placing would do. The pieces themselves stay
-distributed: a piece's rank among those of its length, found from counts per partition, leads to its place in the plan.
+thousand entries whatever the input's size. With rule "norm" this places pieces as one-by-one placing would; with rule
+"dot" ties within a group of like sequences are taken in another order, so the number of sequences can differ by a few. At
+the default capacities only tokens can bind (every piece has a token, and a sum of squares is at most the square of the
+sum); the other two then weigh the score alone. Smaller ones bind, as in tests. The pieces themselves stay distributed: a piece's rank among those of its length, found from counts per partition, leads to its place in the plan.
 
 Defined results: a null text counts as empty and makes one piece of the separator alone; repeated rows are packed each on
 their own; null ids are kept; an empty table gives an empty result; other columns are ignored.
