@@ -34,7 +34,9 @@ RATIO, SHORTEST = 2.2, 20
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
 _IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[-+/_=0-9]*")
-_JOINED = re.compile(r"[-+/_=]*([A-Z]?[a-z]+|[A-Z]+)[-+/_=]*[0-9]{0,4}[-+/_=]*(?:[-+/_=]+([A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-+/_=]*")
+_SIGNS = re.compile(r"[-+/_=]+")
+_FIRST = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}")
+_OTHER = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _PART = re.compile(r"[^/_=-]+")
 _HEX = re.compile(r"(?:0x)?([0-9a-f]+|[0-9A-F]+)")
 _BLOCK = 1 << 20
@@ -70,32 +72,51 @@ def known(run: str) -> bool:
     return digest is not None and len(digest[1]) in DIGESTS or _IDENTIFIER.fullmatch(run) is not None
 
 
+def joined_words(run: str) -> bool:
+    """Words and numbers with signs between them; the first is a word. run: without signs at its ends."""
+    first, *others = _SIGNS.split(run)
+    return _FIRST.fullmatch(first) is not None and all(_OTHER.fullmatch(p) for p in others)
+
+
 def random_run(run: str, codec) -> bool:
     bare = run.strip("=-_/+")
     if len(bare) < SHORTEST or known(bare):
         return False
-    if _PART.fullmatch(bare) is None and _JOINED.fullmatch(bare):
+    if _PART.fullmatch(bare) is None and joined_words(bare):
         return False  # its words are tested one by one
-    return len(bare) < RATIO * len(codec.encode_ordinary(bare))
-
-
-def random_spans(text: str, a: int, b: int, base: list[tuple[str, int, int]], codec) -> list[tuple[str, int, int]]:
-    """Spans of a run from a to b: of each piece that base spans leave, the whole or else parts."""
-    if known(text[a:b].strip("=-_/+")):
-        return []
-    pieces = []
-    for _, s, e in sorted(base, key=lambda x: x[1]):
-        if a < e and s < b:
-            pieces.append((a, s))
-            a = e
-    out = []
-    for i, j in [*pieces, (a, b)]:
-        if j - i < SHORTEST:
-            continue
-        if random_run(text[i:j], codec):
-            out.append(("random", i, j))
+    return len(bare) / len(codec.encode_ordinary(bare)) < RATIO
+
+
+def merged(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Stretches that spans cover, in order and apart from each other."""
+    out: list[tuple[int, int]] = []
+    for _, a, b in sorted(spans, key=lambda x: x[1]):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
         else:
-            out += [("random", i + m.start(), i + m.end()) for m in _PART.finditer(text[i:j]) if m.end() - m.start() < j - i and random_run(m[0], codec)]
+            out.append((a, b))
+    return out
+
+
+def random_spans(text: str, runs: list[tuple[int, int]], base: list[tuple[str, int, int]], codec) -> list[tuple[str, int, int]]:
+    """Spans of runs of key characters: of each piece that base spans leave of a run, the whole or else parts."""
+    out, held, k = [], merged(base), 0
+    for a, b in runs:
+        while k < len(held) and held[k][1] <= a:
+            k += 1
+        if known(text[a:b].strip("=-_/+")):
+            continue
+        pieces, j = [], k
+        while j < len(held) and held[j][0] < b:
+            pieces.append((a, held[j][0]))
+            a, j = held[j][1], j + 1
+        for i, j in [*pieces, (a, b)]:
+            if j - i < SHORTEST:
+                continue
+            if random_run(text[i:j], codec):
+                out.append(("random", i, j))
+            else:
+                out += [("random", i + m.start(), i + m.end()) for m in _PART.finditer(text[i:j]) if m.end() - m.start() < j - i and random_run(m[0], codec)]
     return out
 
 
@@ -126,7 +147,7 @@ def scan(texts: list[str], codec) -> list[tuple[list, list]]:
                 split[k][which].append((a - int(starts[k]), b - int(starts[k])))
         for text, (hexes, others) in zip(texts[i:j], split):
             base = base_spans(text, hexes)
-            more = [r for a, b in others for r in random_spans(text, a, b, base, codec)]
+            more = random_spans(text, others, base, codec)
             out.append((base, sorted(base + more, key=lambda s: (s[1], ORDER[s[0]], s[2]))))
     return out
 
