@@ -89,6 +89,46 @@ def test_null_ids_and_repeated_rows(spark, frame):
     assert sorted(r.doc_id or -1 for r in one_of_each(rows).collect()) == [-1, 3]
 
 
+def shared_ids():
+    """Rows that share ids but not texts: each belongs to the class of its own text."""
+    rnd = random.Random(8)
+    a, b, c = words(rnd, 80), words(rnd, 90), words(rnd, 70)
+    near = [*b[:40], "edited", *b[41:]]
+    return [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(near)), (3, " ".join(a)), (2, " ".join(c)), (2, None), (1, ""), (2, " ".join(c))]
+
+
+def test_ids_that_texts_share(spark):
+    rows = shared_ids()
+    texts = [t for _, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    links = brute(texts)
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in similar(docs).collect())
+    assert got == sorted((i, rows[links[k][0]][0], links[k][1]) for k, (i, _) in enumerate(rows))
+    kept = sorted((r.doc_id, r.text or "") for r in one_of_each(docs).collect())
+    assert kept == sorted((i, t or "") for i, t in [rows[0], rows[1], rows[4], rows[5], rows[6]])
+
+
+def test_columns_that_clash_and_long_texts(spark):
+    rnd = random.Random(3)
+    long = words(rnd, 60_000)
+    rows = [(1, " ".join(long), 7, 8, "x"), (2, " ".join([*long[:-1], "other"]), 7, 8, "x"), (3, "", 7, 8, "x"), (None, "a b", 7, 8, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, nth int, mark int, own string")
+    assert sorted((r.doc_id or 0, r.nth, r.mark, r.own) for r in one_of_each(docs).collect()) == [(0, 7, 8, "x"), (1, 7, 8, "x"), (3, 7, 8, "x")]
+    assert one_of_each(docs).columns == docs.columns
+
+
+def test_only_pairs_that_survive_pruning_are_verified(monkeypatch):
+    monkeypatch.setattr(ngram_join, "survivors", lambda signs, side, need: ([], []))
+    verify = ngram_join._verify(4, 5)
+    import pyarrow as pa
+
+    sets = next(iter(ngram_join._sets([pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([0, 1]), pa.array(["a b c d e f"] * 2)], names=["doc_id", "mark", "text"])])))
+    batch = pa.RecordBatch.from_pylist([{"comp": b"", "lo": 0, "hi": 0, "own": 0, "members": 2, "copies": 1, "digest": d, "sign": s, "text": "a b c d e f"} for d, s in zip(sets.column(2).to_pylist(), sets.column(3).to_pylist())])
+    assert [r["links"] for b in verify([batch]) for r in b.to_pylist()] == [0, 0]
+    monkeypatch.undo()
+    assert [r["links"] for b in verify([batch]) for r in b.to_pylist()] == [1, 1]
+
+
 def test_pruning_thresholds():
     """P(similarity >= 0.8 | matches) under a uniform prior, by a plain integral."""
     x = np.linspace(0, 1, 200_001)
@@ -102,8 +142,14 @@ def test_pruning_thresholds():
 
 def test_exact_verification():
     a = np.arange(100, dtype=np.uint64)
-    assert [x.tolist() for x in linked([a[:80], a, a[:79], a[50:]])] == [[0, 0], [1, 2]]
-    assert [x.tolist() for x in linked([a[:80], a])] == [[0], [1]] and linked([a[:79], a])[0].tolist() == []
+    every = lambda n: np.triu_indices(n, 1)
+    assert [x.tolist() for x in linked([a[:80], a, a[:79], a[50:]], *every(4))] == [[0, 0], [1, 2]]
+    assert [x.tolist() for x in linked([a[:80], a], *every(2))] == [[0], [1]] and linked([a[:79], a], *every(2))[0].tolist() == []
+    sets = [a[k:] for k in range(30)]
+    few = (np.array([0, 3]), np.array([20, 21]))
+    assert ngram_join.common(sets, *few).tolist() == [80, 79]  # one by one
+    assert ngram_join.common(sets, *every(30)).tolist() == [100 - j for j in every(30)[1]]
+    assert [x.tolist() for x in linked(sets, *few)] == [[0, 3], [20, 21]]
 
 
 def test_components(spark):

@@ -43,6 +43,14 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like the given one that no column of df has."""
+    held = {c.lower() for c in df.columns}
+    while name in held:
+        name += "_"
+    return name
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,4 +1,4 @@
-"""Connected components by alternating large and small stars, on edges that stay distributed."""
+"""Connected components by alternating large and small stars, on edges that stay distributed. Nodes are longs or binary."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b long. Returns node, label: the least node that it is linked with, for every node of an edge."""
+    """edges: a, b. Returns node, label: the least node that it is linked with, for every node of an edge."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:

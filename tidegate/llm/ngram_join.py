@@ -1,22 +1,23 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning.
 
-1. Every text becomes its set of five-word shingles. Texts with one and the same set form a class (its representative is
-   the least id), so copies are never compared with each other.
-2. Representatives meet in buckets of MinHash bands (28 bands of 5: a pair of similarity 0.8 meets nowhere with a
-   probability of 1.5e-5, one of 0.85 of 7e-8). Buckets with the same members are looked at once.
+1. Every text becomes its set of five-word shingles. Texts with one and the same set form a class, known by its digest (its
+   representative is the row of least id), so copies are never compared with each other.
+2. Classes meet in buckets of MinHash bands (28 bands of 5: a pair of similarity 0.8 meets nowhere with a probability of
+   1.5e-5, one of 0.85 of 7e-8). Buckets with the same members are looked at once.
 3. In a bucket, MinHash values are compared 20 at a time; a pair is dropped as soon as the posterior probability that its
    similarity reaches the threshold (uniform prior) falls below 1e-6. The pairs left link their members; a spanning
    forest of them is all that leaves the task.
-4. In each component of these links all pairs are verified exactly, on whole shingle sets. Links that hold are counted for
+4. Members that such links connect meet once more, now with their texts. Their MinHash values are compared in the same way,
+   and the pairs that survive, these alone, are verified exactly on whole shingle sets. Links that hold are counted for
    each member, and classes of near copies are the components of the links that hold.
 
 Buckets and components of more than CHUNK members are dealt out by pairs of chunks, so no task holds more than two chunks
 of any group, whatever its size, and no link is lost. No pair of documents is ever a row.
 
 Defined results: a null or empty text, or one without words, is like no other (its own class, no links); a text of one to
-four words has one shingle, its words; an id that several rows share stands for one document of the class of each row; a
-row with a null id gets a null class and no links; ties don't matter, as every pair at or above the threshold counts; other
-columns are ignored; an empty table gives an empty result.
+four words has one shingle, its words; rows that share an id are told apart by their texts, each a document of the class
+of its own text; a row with a null id gets a null class and no links; ties don't matter, as every pair at or above the
+threshold counts; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import cut, slices
+from tidegate.llm.common import cut, fresh, slices
 from tidegate.llm.components import components, forest
 from tidegate.llm.words import Words, blocks, shingles
 
@@ -82,17 +83,20 @@ def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds))
 
 
+def digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        ids, texts = b.column(0), b.column(1).to_pylist()
-        digests, sizes, signs = [], [], []
+        texts = b.column(2).to_pylist()
+        digests, signs = [], []
         for i, w in blocks(texts):
             for k in range(len(w.first) - 2 + 1):
                 own = shingles(w.of(k), WORDS)
-                sizes.append(len(own))
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                digests.append(digest(own) if len(own) else None)
                 signs.append(signature(own).tobytes() if len(own) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "digest", "size", "sign"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "mark", "digest", "sign"])
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
@@ -143,13 +147,13 @@ def _prune(threshold: float) -> Callable:
     need = least_matches(threshold)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"a": pa.int64(), "b": pa.int64()}
+        kinds = {"a": pa.binary(), "b": pa.binary()}
         out: list[tuple] = []
         for (_, lo, hi), rows in groups(batches, ["key", "lo", "hi"]):
             signs = np.frombuffer(b"".join(r["sign"] for r in rows), "<u2").reshape(len(rows), HASHES)
             side = np.array([r["own"] for r in rows]) if lo != hi else None
             _, used = forest(len(rows), *survivors(signs, side, need))
-            out += [(rows[i]["doc_id"], rows[j]["doc_id"]) for i, j in used]
+            out += [(rows[i]["digest"], rows[j]["digest"]) for i, j in used]
             if len(out) > 20_000:
                 yield _table(out, kinds)
                 out = []
@@ -159,60 +163,60 @@ def _prune(threshold: float) -> Callable:
     return prune
 
 
-def linked(sets: list[np.ndarray], top: int = NUMERATOR, bottom: int = DENOMINATOR) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of sets whose Jaccard similarity is top / bottom or more, exactly."""
+def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets."""
     n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
-    if n == 2:
-        both = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))]])
-        common = np.vstack([both, [[0, 0]]])
-    else:
-        owner = np.repeat(np.arange(n), sizes)
-        values, back, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        # A shingle that one set alone has is in no intersection.
-        place = np.cumsum(counts > 1) - 1
-        held = counts[back] > 1
-        owner, column = owner[held], place[back[held]]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        common = np.zeros((n, n), np.float32)
-        total, width = int(place[-1]) + 1 if len(place) else 0, 4096
-        for start in range(0, total, width):
-            a, b = np.searchsorted(column, [start, start + width])
-            m = np.zeros((n, width), np.float32)
-            m[owner[a:b], column[a:b] - start] = 1
-            common += m @ m.T
-    common = np.rint(common).astype(np.int64)
-    i, j = np.triu_indices(n, 1)
-    c = common[i, j]
-    holds = bottom * c >= top * (sizes[i] + sizes[j] - c)
-    holds &= c > 0
-    return i[holds], j[holds]
-
-
-_FOUND = {"doc_id": pa.int64(), "links": pa.int64(), "link_docs": pa.int64(), "label": pa.int64(), "other": pa.int64()}
+    if 20 * len(left) < n * n:  # few pairs: one by one
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left.tolist(), right.tolist())], np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    values, back, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # A shingle that one set alone has is in no intersection.
+    place = np.cumsum(counts > 1) - 1
+    held = counts[back] > 1
+    owner, column = owner[held], place[back[held]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    total, width = int(place[-1]) + 1 if len(place) else 0, 4096
+    for start in range(0, total, width):
+        a, b = np.searchsorted(column, [start, start + width])
+        m = np.zeros((n, width), np.float32)
+        m[owner[a:b], column[a:b] - start] = 1
+        both += m @ m.T
+    return np.rint(both[left, right]).astype(np.int64)
+
+
+def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, top: int = NUMERATOR, bottom: int = DENOMINATOR) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs whose Jaccard similarity is top / bottom or more, exactly."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    c = common(sets, left, right)
+    holds = (c > 0) & (bottom * c >= top * (sizes[left] + sizes[right] - c))
+    return left[holds], right[holds]
+
+
+_FOUND = {"digest": pa.binary(), "links": pa.int64(), "link_docs": pa.int64(), "label": pa.binary(), "other": pa.binary()}
 
 
 def _verify(top: int, bottom: int) -> Callable:
+    need = least_matches(top / bottom)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for (_, lo, hi), rows in groups(batches, ["comp", "lo", "hi"]):
             sets: list[np.ndarray] = []
             for _, w in blocks([r["text"] for r in rows]):
                 sets += [shingles(w.of(k), WORDS) for k in range(len(w.first) - 1)]
-            i, j = linked(sets, top, bottom)
-            own = np.array([r["own"] for r in rows])
-            if lo != hi:
-                across = own[i] != own[j]
-                i, j = i[across], j[across]
+            signs = np.frombuffer(b"".join(r["sign"] for r in rows), "<u2").reshape(len(rows), HASHES)
+            side = np.array([r["own"] for r in rows]) if lo != hi else None
+            i, j = linked(sets, *(np.array(p, np.int64) for p in survivors(signs, side, need)), top, bottom)
             copies = np.array([r["copies"] for r in rows], np.int64)
             n = np.bincount(i, minlength=len(rows)) + np.bincount(j, minlength=len(rows))
             docs = np.bincount(i, copies[j], minlength=len(rows)) + np.bincount(j, copies[i], minlength=len(rows))
             roots, used = forest(len(rows), i.tolist(), j.tolist())
-            alone = rows[0]["members"] <= CHUNK  # the whole component is here
-            for k, r in enumerate(rows):
-                out.append((r["doc_id"], int(n[k]), int(docs[k]), min(r["doc_id"], rows[roots[k]]["doc_id"]) if alone else None, None))
+            alone = rows[0]["members"] <= CHUNK  # the whole component is here, in order of digest
+            out += [(r["digest"], int(n[k]), int(docs[k]), rows[roots[k]]["digest"] if alone else None, None) for k, r in enumerate(rows)]
             if not alone:
-                out += [(rows[a]["doc_id"], 0, 0, None, rows[b]["doc_id"]) for a, b in used]
+                out += [(rows[a]["digest"], 0, 0, None, rows[b]["digest"]) for a, b in used]
             if len(out) > 20_000:
                 yield _table(out, _FOUND)
                 out = []
@@ -222,59 +226,67 @@ def _verify(top: int, bottom: int) -> Callable:
     return verify
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, rep_id, class_id, n_links, n_linked_texts.
-
-    rep_id: least id with the same shingles. class_id: least id of the class of near copies. n_links: other documents at
-    or above the threshold, copies included; n_linked_texts: other shingle sets at or above it."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = cut(rows.mapInArrow(_sets, "doc_id long, digest binary, size long, sign binary"))
+def _matched(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """One row per row of docs (doc_id, mark, digest), and one per class: digest, rep (its first row's doc_id and mark), head
+    (that of the class of near copies), copies, links, link_docs. mark: a hash of the text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    sets = cut(rows.mapInArrow(_sets, "doc_id long, mark long, digest binary, sign binary"))
     keyed = sets.where("digest is not null and doc_id is not null")
-    classes = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"), F.first("sign").alias("sign"))
-    classes = cut(classes)
+    classes = cut(keyed.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.count("*").alias("copies"), F.first("sign").alias("sign")))
 
-    # Buckets of bands: what is shuffled first is a key and an id.
+    # Buckets of bands: what is shuffled first is a key and a digest.
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    members = classes.select("rep_id", "sign", band.alias("band"))
-    members = members.select("rep_id", F.expr(f"xxhash64(band, substring(sign, band * {2 * ROWS} + 1, {2 * ROWS}))").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("rep_id").alias("head"), F.bit_xor(F.xxhash64("rep_id")).alias("who")).where("n > 1")
-    buckets = buckets.groupBy("n", "head", "who").agg(F.min("key").alias("key"))  # the same members: once
-    inside = members.join(buckets.select("key", "n"), "key").select("key", "n", F.col("rep_id").alias("doc_id"))
-    inside = inside.join(classes.select(F.col("rep_id").alias("doc_id"), "sign"), "doc_id")
-    edges = dealt(inside, "key", "n", "doc_id").select("key", "lo", "hi", "own", "doc_id", "sign").mapInArrow(_prune(NUMERATOR / DENOMINATOR), "a long, b long")
-    candidates = cut(components(edges).select(F.col("label").alias("comp"), F.col("node").alias("doc_id")))
-
-    # Exact verification of all pairs in each component. Of rows that share an id, the first text with the class's set counts.
+    members = classes.select("digest", "sign", band.alias("band"))
+    members = members.select("digest", F.expr(f"xxhash64(band, substring(sign, band * {2 * ROWS} + 1, {2 * ROWS}))").alias("key"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("first"), F.bit_xor(F.xxhash64("digest")).alias("who")).where("n > 1")
+    buckets = buckets.groupBy("n", "first", "who").agg(F.min("key").alias("key"))  # the same members: once
+    inside = members.join(buckets.select("key", "n"), "key").join(classes.select("digest", "sign"), "digest")
+    edges = dealt(inside, "key", "n", "digest").select("key", "lo", "hi", "own", "digest", "sign").mapInArrow(_prune(NUMERATOR / DENOMINATOR), "a binary, b binary")
+    candidates = cut(components(edges).select(F.col("label").alias("comp"), F.col("node").alias("digest")))
+
+    # Exact verification. A class is known by its digest; one row of its own, by id and mark, brings the text.
     sized = candidates.groupBy("comp").agg(F.count("*").alias("members"))
-    wanted = candidates.join(sized, "comp").join(classes.select(F.col("rep_id").alias("doc_id"), "copies", "digest"), "doc_id")
-    # A class is known by its digest; ids may repeat, so texts are taken by row and told apart by their own sets.
-    texts = rows.join(wanted.groupBy("doc_id").agg(F.first("comp").alias("comp"), F.first("members").alias("members"), F.max("copies").alias("copies")), "doc_id")
-    one = Window.partitionBy("doc_id").orderBy("text")
-    texts = texts.withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth")
-    found = dealt(texts, "comp", "members", "doc_id").select("comp", "lo", "hi", "own", "members", "copies", "doc_id", "text")
-    found = cut(found.mapInArrow(_verify(NUMERATOR, DENOMINATOR), "doc_id long, links long, link_docs long, label long, other long"))
-    links = found.groupBy("doc_id").agg(F.sum("links").alias("links"), F.sum("link_docs").alias("link_docs"), F.min("label").alias("label"))
-    spread = found.where("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+    wanted = candidates.join(sized, "comp").join(classes, "digest").select("comp", "members", "copies", "digest", "sign", "rep.*")
+    texts = rows.join(wanted, ["doc_id", "mark"]).dropDuplicates(["digest"])
+    found = dealt(texts, "comp", "members", "digest").select("comp", "lo", "hi", "own", "members", "copies", "digest", "sign", "text")
+    found = cut(found.mapInArrow(_verify(NUMERATOR, DENOMINATOR), "digest binary, links long, link_docs long, label binary, other binary"))
+    links = found.groupBy("digest").agg(F.sum("links").alias("links"), F.sum("link_docs").alias("link_docs"), F.min("label").alias("label"))
+    spread = found.where("other is not null").select(F.col("digest").alias("a"), F.col("other").alias("b"))
     if spread.take(1):
-        own = components(spread).select(F.col("node").alias("doc_id"), F.col("label").alias("wide"))
-        links = links.join(own, "doc_id", "left").select("doc_id", "links", "link_docs", F.coalesce("wide", "label").alias("label"))
-    links = links.select(F.col("doc_id").alias("rep_id"), "links", "link_docs", "label")
-
-    known = classes.select("digest", "rep_id", "copies").join(links, "rep_id", "left")
-    by_doc = sets.select("doc_id", "digest").join(known, "digest", "left")
-    copy = F.col("rep_id").isNotNull() & F.col("doc_id").isNotNull()
-    return by_doc.select(
+        own = components(spread).select(F.col("node").alias("digest"), F.col("label").alias("wide"))
+        links = links.join(own, "digest", "left").select("digest", "links", "link_docs", F.coalesce("wide", "label").alias("label"))
+    linked_classes = classes.select("digest", "rep", "copies").join(links, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    heads = linked_classes.groupBy("label").agg(F.min("rep").alias("head"))
+    known = linked_classes.join(heads, "label").select("digest", "rep", "head", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("link_docs", F.lit(0)).alias("link_docs"))
+    return sets.select("doc_id", "mark", "digest"), known
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, rep_id, class_id, n_links, n_linked_texts.
+
+    rep_id: least id with the same shingles. class_id: least id of the class of near copies. n_links: other documents at
+    or above the threshold, copies included; n_linked_texts: other shingle sets at or above it."""
+    rows, known = _matched(docs, id_col, text_col)
+    copy = F.col("rep").isNotNull() & F.col("doc_id").isNotNull()
+    return rows.join(known, "digest", "left").select(
         "doc_id",
-        F.when(copy, F.col("rep_id")).otherwise(F.col("doc_id")).alias("rep_id"),
-        F.when(copy, F.coalesce("label", "rep_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(copy, F.col("copies") - 1 + F.coalesce("link_docs", F.lit(0))).otherwise(F.lit(0)).alias("n_links"),
-        F.when(copy, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).alias("n_linked_texts"),
+        F.when(copy, F.col("rep.doc_id")).otherwise(F.col("doc_id")).alias("rep_id"),
+        F.when(copy, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(copy, F.col("copies") - 1 + F.col("link_docs")).otherwise(F.lit(0)).alias("n_links"),
+        F.when(copy, F.col("links")).otherwise(F.lit(0)).alias("n_linked_texts"),
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their class of near copies, with all their columns; rows with a null id stay."""
-    kept = similar(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    held = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
-    held = held.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")
-    return held.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each class of near copies, the first by id and then by a hash of its text, with all its columns.
+    Rows with a null id and rows without words stay, all of them; of rows repeated in id and text, one."""
+    rows, known = _matched(docs, id_col, text_col)
+    stay = known.select("head.doc_id", "head.mark").distinct()
+    wordless = rows.where("digest is null and doc_id is not null").select("doc_id", "mark").distinct()
+    own, mark, nth = (fresh(docs, n) for n in ("own", "mark", "nth"))
+    kept = stay.withColumn(nth, F.lit(1)).unionByName(wordless.withColumn(nth, F.lit(None).cast("int")))
+    kept = kept.select(F.col("doc_id").alias(own), F.col("mark").alias(mark), nth)
+    keyed = docs.where(F.col(id_col).isNotNull()).withColumn(own, F.col(id_col).cast("long")).withColumn(mark, F.xxhash64(text_col))
+    held = keyed.join(kept, [own, mark])
+    first = held.where(F.col(nth) == 1).withColumn(nth, F.row_number().over(Window.partitionBy(own, mark).orderBy(own))).where(F.col(nth) == 1)
+    return first.select(*docs.columns).unionByName(held.where(F.col(nth).isNull()).select(*docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))
