@@ -31,6 +31,36 @@ def test_a_run_over_many_partitions(spark, frame):
     assert sorted(map(tuple, got)) == brute(list(enumerate(texts)))
 
 
+def test_a_hot_text_beside_others_of_its_beginning(spark, frame):
+    """Many texts of one beginning, sorted by what follows, around a run that crosses partitions."""
+    texts = [f"{'the same beginning of a text that is long ' * 2}{k % 37}" for k in range(400)] + ["the same beginning of a text that is long " * 2] * 500 + [None, "", " "]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = content_sort(frame(texts, parts=5)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert sorted(map(tuple, got)) == brute(list(enumerate(texts)))
+
+
+def test_equal_texts_are_neighbours_by_content():
+    """Equality is that of the texts, whatever their digests say."""
+    import pyarrow as pa
+    from unittest import mock
+
+    from tidegate.llm import exact
+
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "norm": ["a", "a", "b", "b"], "sha": ["x"] * 4})
+    with mock.patch("pyspark.TaskContext.get", return_value=mock.Mock(partitionId=lambda: 0)):
+        got = [r for b in exact._runs([rows.slice(0, 1), rows.slice(1, 2), rows.slice(3)]) for r in b.to_pylist() if r["edge"] is None]
+    assert [(r["doc_id"], r["head_id"], r["n"], r["first"]) for r in got] == [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 2, True), (4, 3, 2, False)]
+
+
+def test_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 6, 7), (2, " a", 5, 6, 7)], "doc_id long, text string, own int, nth int, kept_sha int")
+    assert [tuple(r) for r in keep_first(docs).collect()] == [(2, " a", 5, 6, 7)]
+
+
 def test_kept_rows(spark, frame, empty):
     docs = frame(["x y", "xy", "q", "q", None, ""])
     twice = docs.union(docs)
