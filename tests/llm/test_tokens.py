@@ -12,7 +12,8 @@ from tokenizers import Tokenizer
 
 from tidegate.llm import bpe
 from tidegate.llm.packing import Capacity, best_fit, plan
-from tidegate.llm.tokenbin import PerfectHash, Shard, round_trip, write_shard
+from tidegate.llm.common import delete, shared_path
+from tidegate.llm.tokenbin import Keyed, PerfectHash, Shard, lookup, read_shards, round_trip, write_shard, write_shards
 
 PATH = bpe.vocabulary()
 LIBRARY = Tokenizer.from_file(PATH)
@@ -78,6 +79,47 @@ def test_index_is_minimal_and_knows_foreign_keys():
     assert s.find(keys + 1)[1].sum() <= 2  # a foreign key is told by its 32-bit fingerprint
 
 
+def test_lookup_by_key(spark):
+    """Through manifest and index, with many shards, a key whose documents lie in several, nulls and foreign keys."""
+    rows = [(3 * k - 300, f"text {k} {'word ' * (k % 7)}") for k in range(400)] + [(900, f"same {k}") for k in range(60)] + [(None, "no id"), (901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = shared_path(spark, "lookup")
+    manifest = write_shards(docs, folder, PATH, 2, size=200)
+    assert manifest.count() > 10 and manifest.agg({"n_ids": "max"}).first()[0] < 300
+    keys = spark.createDataFrame([(i,) for i in [-300, -297, -299, 0, 900, 897, 901, 902, -10_000, 10_000, None]], "key long")
+    got = defaultdict(list)
+    for r in lookup(manifest, keys).collect():
+        got[r.key].append(list(r.ids))
+    held = defaultdict(list)
+    for i, t in rows:
+        held[i].append([*want(t), 2])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(held[k]) for k in (-300, -297, 0, 900, 897, 901)}
+    assert sorted(r.doc_id or 0 for r in read_shards(manifest).collect()) == sorted(i or 0 for i, _ in rows)
+    assert lookup(manifest.where("n_rows < 0"), keys).count() == 0
+    delete(spark, folder)
+
+
+def test_a_lookup_reads_the_same_few_places_in_shards_of_any_size():
+    read = {}
+    for n in (10, 100_000):
+        keys = np.arange(n, dtype=np.int64) * 7
+        out = io.BytesIO()
+        write_shard(out, keys, np.zeros(n, bool), np.full(n, 3), [np.array([k % 1000, 5, 2], "<u2") for k in range(n)], 2)
+
+        class Counted(io.BytesIO):
+            total = calls = 0
+
+            def read(self, size=-1):
+                Counted.total, Counted.calls = Counted.total + size, Counted.calls + 1
+                return super().read(size)
+
+        file = Counted(out.getvalue())
+        assert [x.tolist() for x in Keyed(file).get(21)] == [[3, 5, 2]]
+        read[n] = Counted.total, Counted.calls
+        assert Keyed(file).get(22) == [] and Keyed(file).get(-1) == []
+    assert read[10] == read[100_000] and read[10][0] < 150
+
+
 def check_packing(rows, cap, lengths=None):
     bins = defaultdict(list)
     for r in rows:
@@ -112,6 +154,24 @@ def test_packing(frame, empty):
     assert best_fit(empty, PATH).count() == 0
 
 
+def test_packing_with_capacities_that_bind(frame):
+    """Sequences of 600 tokens, three documents and a sixth of the attention: each of the three is what closes some."""
+    rnd = random.Random(2)
+    texts = ["word " * rnd.choice([3, 5, 40, 180, 400]) for _ in range(150)]
+    for rule in ("norm", "dot"):
+        cap = Capacity(600, 3, 200_000, rule=rule)
+        docs = frame(texts)
+        rows = best_fit(docs, PATH, cap=cap).collect()
+        assert sum(r.length for r in rows) == sum(len(want(t)) + 1 for t in texts)
+        used = check_packing(rows, cap)
+        load = defaultdict(list)
+        for r in rows:
+            load[r.sequence_id].append(r.length)
+        full = [(sum(v) + 6 > 600, len(v) == 3, sum(n * n for n in v) > 160_000) for v in load.values()]
+        assert all(any(f[k] for f in full) for k in (1, 2))
+        assert used <= one_by_one(Counter(r.length for r in rows), cap) + (0 if rule == "norm" else 6)
+
+
 def one_by_one(counts, cap):
     """Places piece after piece; the plan must use as many sequences."""
     full, w = np.array([cap.tokens, cap.documents, cap.attention], float), np.array(cap.weights)

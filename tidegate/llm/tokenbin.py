@@ -1,6 +1,7 @@
 """Token-id shards with a minimal perfect hash index.
 
-Documents are range-partitioned and sorted by id; each partition becomes one shard file in the shared folder:
+Documents are range-partitioned and sorted by id; each partition becomes shard files in the shared folder, a new one
+after every SHARD ids or so, so that a task holds no more than one shard:
 
     magic "TGSHARD1", uint32 version 1, uint32 bytes per id, uint64 rows, uint64 ids,
     row ids (int64), row flags (uint8, 1: the row's id is null), row offsets (uint64, rows + 1 of them, in ids),
@@ -10,15 +11,16 @@ Documents are range-partitioned and sorted by id; each partition becomes one sha
 
 The index is a hash-and-displace minimal perfect hash: a key's bucket gives a displacement, key and displacement give one
 of exactly as many slots as there are keys, and the slot's fingerprint tells a stored key from a foreign one. A lookup
-reads one displacement, one fingerprint and one pair of offsets, whatever the shard's size. A manifest row for each shard
-(path, first and last id, rows, ids) leads from a key to its shard and gives the ids before each shard.
+(`Keyed.get`) reads two heads, one displacement, one slot and one pair of offsets by seeks, whatever the shard's size. A
+manifest row for each shard (path, place, first and last id, rows, ids) leads from a key to its shard and gives the ids
+before each shard; `lookup` finds the ids of a table of keys.
 
 Each attempt at a task writes a file of its own name and returns that name; only the names in the manifest are read, so
 lost executors and repeated tasks leave no half-written shard in use. Files go through pyarrow's file systems, so the
 shared folder may be in any store that these reach.
 
-Defined results: a null text counts as empty and has the end id alone; rows that share an id keep their order by text
-and one index entry covers them all; null ids come first and are stored, but can't be looked up by key; an empty table
+Defined results: a null text counts as empty and has the end id alone; rows that share an id are in the order of a hash of
+their texts, then of the texts, and one index entry of a shard covers all that it has of them; null ids come first and are stored, but can't be looked up by key; an empty table
 has an empty manifest; other columns are ignored.
 """
 
@@ -41,7 +43,9 @@ from tidegate.llm.common import cut, delete, shared_path, slices
 MAGIC = b"TGSHARD1"
 _HEAD = struct.Struct("<8sIIQQ")
 _INDEX = struct.Struct("<QQQ")
-MANIFEST = "path string, pid int, first_id long, last_id long, n_rows long, n_ids long"
+MANIFEST = "path string, pid int, part int, first_id long, last_id long, n_rows long, n_ids long"
+#: Ids of a shard, after which the next begins (a longer document isn't cut).
+SHARD = 1 << 25
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -162,40 +166,93 @@ class Shard:
         return np.frombuffer(self.file.read((b - a) * self.width), f"<u{self.width}")
 
 
+class Keyed:
+    """A shard file opened for single keys: what a lookup reads doesn't depend on the shard's size."""
+
+    def __init__(self, file) -> None:
+        self.file = file
+        magic, version, self.width, rows, _ = _HEAD.unpack(self._read(0, _HEAD.size))
+        if magic != MAGIC or version != 1:
+            raise ValueError("not a token shard")
+        self.offsets = _HEAD.size + 9 * rows
+        head = self.offsets + 8 * (rows + 1)
+        self.n, self.buckets, self.seed = _INDEX.unpack(self._read(head, _INDEX.size))
+        self.shifts = head + _INDEX.size
+        self.prints = self.shifts + 4 * self.buckets
+        self.rows = self.prints + 4 * self.n
+        self.counts = self.rows + 8 * self.n
+        self.ids = self.counts + 8 * self.n
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
+    def _one(self, at: int, kind: str) -> int:
+        return int(np.frombuffer(self._read(at, np.dtype(kind).itemsize), kind)[0])
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of each document of a key; none if the shard doesn't have it."""
+        if not self.n:
+            return []
+        own = np.array([key], np.int64)
+        h = mixed(own, self.seed)
+        shift = self._one(self.shifts + 4 * int((h[0] >> np.uint64(32)) % np.uint64(self.buckets)), "<u4")
+        slot = int(PerfectHash._slots(h, np.array([shift], np.uint64), self.n)[0])
+        if self._one(self.prints + 4 * slot, "<u4") != int(PerfectHash.fingerprints(own)[0]):
+            return []
+        row, count = self._one(self.rows + 8 * slot, "<u8"), self._one(self.counts + 8 * slot, "<u8")
+        # A fingerprint is 32 bits: the stored id tells the last foreign keys.
+        if self._one(_HEAD.size + 8 * row, "<i8") != key:
+            return []
+        at = np.frombuffer(self._read(self.offsets + 8 * row, 8 * (count + 1)), "<u8").astype(np.int64)
+        payload = np.frombuffer(self._read(self.ids + int(at[0]) * self.width, int(at[-1] - at[0]) * self.width), f"<u{self.width}")
+        return np.split(payload, at[1:-1] - at[0])
+
+
 def _store(path: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path)
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2, size: int = SHARD) -> DataFrame:
     """Writes all documents in ascending id order and returns the manifest, checkpointed: one row per shard."""
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids, sizes, payload = [], [], []
+        pid = TaskContext.get().partitionId()
+        ids, sizes, payload, held, part = [], [], [], 0, 0
+
+        def written() -> pa.RecordBatch:
+            nulls = np.array([i is None for i in ids])
+            row_ids = np.array([i or 0 for i in ids], np.int64)
+            store, at = _store(folder)
+            store.create_dir(at, recursive=True)
+            name = f"{pid:06d}-{part:04d}-{uuid.uuid4().hex}.ids"
+            with store.open_output_stream(f"{at}/{name}") as out:
+                write_shard(out, row_ids, nulls, np.array(sizes, np.int64), payload, width)
+            own = row_ids[~nulls]
+            row = (f"{folder}/{name}", pid, part, int(own[0]) if len(own) else None, int(own[-1]) if len(own) else None, len(ids), held)
+            kinds = (pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds)], names=[c.split()[0] for c in MANIFEST.split(", ")])
+
         for b in slices(batches):
-            ids += b.column(0).to_pylist()
-            for got in encoder(vocabulary).encode([t or "" for t in b.column(1).to_pylist()]):
+            for i, got in zip(b.column(0).to_pylist(), encoder(vocabulary).encode([t or "" for t in b.column(1).to_pylist()])):
+                ids.append(i)
                 sizes.append(len(got) + 1)
                 payload.append(np.append(got, end_id).astype(f"<u{width}"))
-        if not ids:
-            return
-        pid = TaskContext.get().partitionId()
-        nulls = np.array([i is None for i in ids])
-        row_ids = np.array([i or 0 for i in ids], np.int64)
-        store, at = _store(folder)
-        store.create_dir(at, recursive=True)
-        name = f"{pid:06d}-{uuid.uuid4().hex}.ids"
-        with store.open_output_stream(f"{at}/{name}") as out:
-            write_shard(out, row_ids, nulls, np.array(sizes, np.int64), payload, width)
-        own = row_ids[~nulls]
-        row = ([f"{folder}/{name}"], [pid], [int(own[0]) if len(own) else None], [int(own[-1]) if len(own) else None], [len(ids)], [int(sum(sizes))])
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.string(), pa.int32(), *[pa.int64()] * 4))], names=["path", "pid", "first_id", "last_id", "n_rows", "n_ids"])
+                held += len(got) + 1
+                if held >= size:
+                    yield written()
+                    ids, sizes, payload, held, part = [], [], [], 0, part + 1
+        if ids:
+            yield written()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return cut(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(shard, MANIFEST))
+    # Rows that share an id, however many, are dealt out by a hash of their texts.
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    return cut(rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(shard, MANIFEST))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -218,7 +275,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(s.row_ids, pa.int64(), mask=s.nulls), pa.array(before + s.offsets[place]), pa.array(size), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spark: SparkSession = manifest.sparkSession
-    shards = sorted(manifest.collect(), key=lambda r: r.pid)  # a row for each shard file
+    shards = sorted(manifest.collect(), key=lambda r: (r.pid, r.part))  # a row for each shard file
     before, rows = 0, []
     for r in shards:
         rows.append((r.path, before))
@@ -227,6 +284,34 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return listed.repartition(max(1, len(rows))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys: key long. One row for each key and document of it: key, nth (among the key's documents), ids; no row for a key
+    that isn't stored. What is broadcast is a row for each shard; each key reads a bounded number of places of its shards."""
+    spark: SparkSession = manifest.sparkSession
+    shards = sorted((r for r in manifest.collect() if r.first_id is not None), key=lambda r: (r.pid, r.part))
+    shared = spark.sparkContext.broadcast(([r.path for r in shards], np.array([r.first_id for r in shards], np.int64), np.array([r.last_id for r in shards], np.int64)))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, first, last = shared.value
+        at, opened = None, None
+        for b in batches:
+            out: list[tuple] = []
+            for key in b.column(0).to_pylist():
+                found = []
+                for k in range(int(np.searchsorted(last, key)), int(np.searchsorted(first, key, side="right"))):
+                    if k != at:
+                        store, place = _store(paths[k])
+                        at, opened = k, Keyed(store.open_input_file(place))
+                    found += opened.get(key)
+                out += [(key, n, own.tolist()) for n, own in enumerate(found)]
+            columns = list(zip(*out)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.int32())))], names=["key", "nth", "ids"])
+
+    # Keys in order stay with one shard for long.
+    held = keys.select(F.col("key").cast("long").alias("key")).where("key is not null")
+    return held.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(find, "key long, nth int, ids array<int>")
+
+
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Writes the shards, reads every document back from them, and deletes them."""
     folder = shared_path(docs.sparkSession, "token-shards")
