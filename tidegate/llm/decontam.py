@@ -10,8 +10,9 @@ wherever it comes, and two values for two, so that a question with other numbers
 merely has numbers in the same places is not. A pair of document and item is reported if windows that agree cover at least
 half of the item's words, or RUN of them in a row.
 
-Benchmark windows are broadcast only while they are at most BLOCK; a larger benchmark is joined in blocks of items, each
-against all documents.
+Benchmark windows are broadcast while they are at most about BLOCK. The windows of a larger benchmark are joined with those
+of the documents by a shuffle, on their size and hash; each pair of a document and an item that share one is then checked
+with the texts of both, so documents are read once whatever the benchmark's size.
 
 Defined results: null or empty texts and items match nothing, nor do items of fewer than LEAST words; an item that several
 rows repeat counts under each of its ids; null ids of documents are kept in the result, rows of the benchmark with a null
@@ -30,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.bpe import Powers, span_hashes
-from tidegate.llm.common import slices
+from tidegate.llm.bpe import Powers, assigned, span_hashes
+from tidegate.llm.common import fresh, slices
 from tidegate.llm.words import Words, blocks, fold_table, windows
 
 WINDOW, LEAST, LITERAL, COVERAGE, RUN = 8, 5, 3, 0.5, 13
 BLOCK = 2_000_000
 NUMBER, UNIT, NAME = 1, 2, 3
-# Unit words that count as such after a number, and number words.
+# A choice: unit words that count as such after a number, and number words.
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles meter meters metre metres foot feet inch inches yard yards second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros pound pounds percent degree degrees liter liters litre litres ml l mph kmh watt watts volt volts".split()
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
 _POWERS = Powers()
@@ -48,7 +49,7 @@ _PLACE = np.array([0, 0x1F0D3A5C9B7E2468, 0x2E1C4B7A5D8F1369, 0x3D2B6C8E9FA01472
 def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which code points are digits, which are capitals, and which end a sentence."""
     digit, capital, end = (np.zeros(0x110000, bool) for _ in range(3))
-    for c in range(0x110000):
+    for c in assigned():
         k = unicodedata.category(chr(c))
         digit[c], capital[c] = k == "Nd", k == "Lu"
     end[[ord(c) for c in ".!?\n\r:;。！？"]] = True
@@ -123,7 +124,7 @@ class Templates:
 
 
 class Benchmark:
-    """Items as templates, and their windows by hash. Pickles small; executors sort the windows anew."""
+    """Items as templates, and their windows in order of hash."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids, self.parts, self.spread = [], [], []
@@ -210,61 +211,117 @@ def literal(kinds: np.ndarray, n: int) -> np.ndarray:
     return 2 * (total[n:] - total[:-n]) > n
 
 
-def _parts(benchmark: DataFrame, block: int) -> Iterator[Benchmark]:
-    """The benchmark in blocks of at most about `block` windows."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-size // (4 * block)))  # a word has over four characters, with its blank, or so
-    for k in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield Benchmark([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()])
+_SCHEMA = "doc_id long, item_id long, coverage double, n_slots long, n_changed long, first_word long, n_words long"
 
 
-_SCHEMA = "doc_id long, item_id long, coverage double, n_slots long, n_changed long, first_word long, n_words long"
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
 
-def _matches(docs: DataFrame, part: Benchmark) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(part)  # at most about BLOCK windows
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ids, out = b.column(0).to_pylist(), []
-            for i, w in blocks(b.column(1).to_pylist()):
+
+def _small(items: DataFrame, block: int) -> Benchmark | None:
+    """The benchmark, if it has about `block` windows at most (a word has over four characters, with its blank, or so)."""
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > 4 * block:
+        return None
+    return Benchmark([(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()])
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        out = []
+        for i, m, t in zip(*(c.to_pylist() for c in b.columns)):
+            out += [(i, m, n, k) for n, (keys, *_) in Benchmark([(i, t)]).sizes.items() for k in np.unique(keys).astype(np.int64).tolist()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["item_id", "item_mark", "n", "key"])
+
+
+def _shuffled(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Matches, and the mark (a hash of the text) of each document, by a join of windows."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").where("text is not null")
+    items = items.select("item_id", F.xxhash64("text").alias("item_mark"), F.col("text").alias("item")).distinct()
+    wanted = items.mapInArrow(_item_windows, "item_id long, item_mark long, n int, key long")
+    sizes = sorted(r.n for r in wanted.select("n").distinct().collect())  # no more than the longest item has words
+
+    def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 128):
+            ids, marks, n_of, keys = [], [], [], []
+            docs_, marks_ = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, w in blocks(b.column(2).to_pylist()):
                 t = Templates(w)
                 for k in range(len(w.first) - 1):
-                    out += [(ids[i + k], *m) for m in shared.value.find(t.of(k))]
+                    variants = t.of(k)[0]
+                    for n in sizes:
+                        own = np.unique(np.concatenate([windows(x, n) for x, _ in variants])).astype(np.int64)
+                        ids += [docs_[i + k]] * len(own)
+                        marks += [marks_[i + k]] * len(own)
+                        n_of.append(np.full(len(own), n, np.int32))
+                        keys.append(own)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(np.concatenate(n_of)), pa.array(np.concatenate(keys))], names=["doc_id", "mark", "n", "key"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, found = None, None
+        for b in slices(batches, 128):
+            out = []
+            for d, m, text, i, item in zip(*(b.column(c).to_pylist() for c in ("doc_id", "mark", "text", "item_id", "item"))):
+                if (d, m) != last:
+                    last, found = (d, m), Templates(Words([text])).of(0)
+                out += [(m, (d, *x)) for x in Benchmark([(i, item)]).find(found)]
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 4)
-                names = [c.split()[0] for c in _SCHEMA.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                own = _found([x for _, x in out])
+                yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in out], pa.int64()), *own.columns], names=["mark", *own.schema.names])
 
-    return docs.mapInArrow(find, _SCHEMA)
+    held = rows.select("doc_id", "mark", "text").mapInArrow(doc_windows, "doc_id long, mark long, n int, key long")
+    pairs = held.join(wanted, ["n", "key"]).select("doc_id", "mark", "item_id", "item_mark").distinct()
+    pairs = pairs.join(items, ["item_id", "item_mark"]).select(F.col("doc_id").alias("id_"), F.col("mark").alias("mark_"), "item_id", "item")
+    both = rows.join(pairs, rows["doc_id"].eqNullSafe(pairs["id_"]) & (rows["mark"] == pairs["mark_"])).select("doc_id", "mark", "text", "item_id", "item")
+    return both.sortWithinPartitions("doc_id", "mark").mapInArrow(verify, "mark long, " + _SCHEMA)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document and item that it contains: doc_id, item_id, coverage (share of the item's words), n_slots and
     n_changed (placeholders in the matching windows, and those with other values), first_word and n_words."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = [_matches(rows, p) for p in _parts(benchmark, block)]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    items = _items(benchmark)
+    small = _small(items, block)
+    if small is None:
+        return _shuffled(docs, items).drop("mark")
+    shared = docs.sparkSession.sparkContext.broadcast(small)  # at most about `block` windows
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            ids, out = b.column(0).to_pylist(), []
+            for i, w in blocks(b.column(1).to_pylist()):
+                t = Templates(w)
+                for k in range(len(w.first) - 1):
+                    out += [(ids[i + k], *m) for m in shared.value.find(t.of(k))]
+            if out:
+                yield _found(out)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, _SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of docs that contain no item, with all their columns."""
+    items = _items(benchmark)
+    small = _small(items, block)
+    if small is None:
+        own, mark = fresh(docs, "own"), fresh(docs, "mark")
+        found = _shuffled(docs, items).select(F.col("doc_id").alias(own), F.col("mark").alias(mark)).distinct()
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(mark))
+        return docs.join(found, same, "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(small)
     at = docs.columns.index("text")
-    for part in _parts(benchmark, block):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                good: list[bool] = []
-                for _, w in blocks(b.column(at).to_pylist()):
-                    t = Templates(w)
-                    good += [not shared.value.find(t.of(k)) for k in range(len(w.first) - 1)]
-                yield b.filter(pa.array(good, pa.bool_()))
-
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            good: list[bool] = []
+            for _, w in blocks(b.column(at).to_pylist()):
+                t = Templates(w)
+                good += [not shared.value.find(t.of(k)) for k in range(len(w.first) - 1)]
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
