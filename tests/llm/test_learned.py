@@ -89,8 +89,87 @@ def test_toxicity(spark, insults, empty):
     assert {r.score for r in toxicity.learn_and_score(docs, none).collect()} == {0.0}
 
 
+def brute_differences(rows, discount=toxicity.DISCOUNT, least=toxicity.LEAST):
+    """Kneser-Ney by plain counting: log P(word | toxic) - log P(word | ordinary) of each word. rows: text, toxic."""
+    import math
+    import re
+
+    before = [{}, {}]
+    for text, toxic in rows:
+        last = None
+        for w in re.findall(r"\w+", (text or "").lower()):
+            before[toxic].setdefault(w, set()).add(last)
+            last = w
+    every = {w: before[0].get(w, set()) | before[1].get(w, set()) for w in {*before[0], *before[1]}}
+    n = [{w: len(before[c].get(w, ())) for w in every} for c in (0, 1)]
+    total = sum(map(len, every.values()))
+    left = {w: max(len(b) - discount, 0) for w, b in every.items()}
+    base = {w: (left[w] + (total - sum(left.values())) / len(every)) / total for w in every}
+    clear = [{w: max(n[c][w] - discount, 0) if n[0][w] + n[1][w] >= least else 0 for w in every} for c in (0, 1)]
+    mass = [sum(c.values()) for c in clear]
+    backoff = max(1 - mass[c] / sum(n[c].values()) for c in (0, 1))
+    p = [{w: backoff * base[w] + (1 - backoff) * clear[c][w] / mass[c] for w in every} for c in (0, 1)]
+    return {w: math.log(p[1][w] / p[0][w]) for w in every}
+
+
+def hashed(word):
+    from tidegate.llm.words import Words
+
+    return Words([word]).of(0)[0]
+
+
+def test_differences_equal_plain_counting(spark, insults):
+    rows, labels = insults
+    said = dict(labels)
+    known = [(t, said[i], i % 5) for i, t in rows if i in said] + [(None, 0, 0), ("", 1, 1), ("ONE word", 1, 2)]
+    counts = toxicity.word_counts(spark.createDataFrame(known, "text string, toxic int, fold int").repartition(3)).cache()
+    table = toxicity.differences(counts)
+    values = dict(zip(table.words.tolist(), table.values.tolist()))
+    for column, keep in ((toxicity.FOLDS, lambda f: True), (2, lambda f: f != 2)):
+        want = brute_differences([(t, y) for t, y, f in known if keep(f)])
+        got = {w: values.get(int(hashed(w)), [0.0] * 6)[column] for w in want}
+        assert all(abs(got[w] - want[w]) < 1e-5 for w in want)
+        assert want["twit"] > 2 and want.get("word", 0) == 0
+
+
+def test_rare_words_come_by_a_shuffle(spark, insults):
+    """With room for few broadcast words, or none, scores are the same."""
+    rows, labels = insults
+    docs = spark.createDataFrame([*rows, (9000, None), (9001, ""), (9002, rows[0][1]), (9002, rows[0][1])], "doc_id long, text string").repartition(3)
+    said = spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole = toxicity.learned_from(docs, said)
+    want = sorted((r.doc_id, round(r.score, 9), round(r.passage, 9)) for r in toxicity.scores(docs, whole).collect())
+    for shared in (150, 0):
+        model = toxicity.learn(docs.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1"), said, shared=shared)
+        assert model.table.rare is not None and len(model.table.words) <= shared
+        assert np.allclose(model.weights, whole.weights)
+        assert sorted((r.doc_id, round(r.score, 9), round(r.passage, 9)) for r in toxicity.scores(docs, model).collect()) == want
+
+
 def test_rare_words_weigh_the_same_in_both_classes():
-    vocabulary = {"often": 1, "rare": 2, "insult": 3}
-    held = np.array([[500, 50], [400, 40], [2, 0], [0, 30]], float)
-    m = toxicity.KneserNey(vocabulary, held, held.sum(axis=1), np.zeros(0, np.int64), np.zeros((0, 2)), np.zeros(0))
-    assert m.word[2] == pytest.approx(0, abs=1e-9) and m.word[3] > 1 and m.difference("insult") > m.difference("rare rare")
+    known = brute_differences([("a rare b", 0)] * 3 + [(f"w{k} insult x{k}", 1) for k in range(9)] + [(f"w{k} plain x{k}", 0) for k in range(9)])
+    assert known["rare"] == 0 and known["insult"] > 0.5 > -0.5 > known["plain"]
+
+
+def test_predictions_equal_plain_distances(spark):
+    """Rank-order distances by plain Python, on the profiles of the operator and short and long texts."""
+    from collections import Counter
+
+    rnd = random.Random(5)
+    rows = [(i, make(rnd, SYLLABLES[lang], rnd.randrange(1, 60)), lang) for i, lang in enumerate(rnd.choice(list(SYLLABLES)) for _ in range(200))]
+    rows += [(500, "ba", "aa"), (501, "é", "cc"), (502, None, "aa"), (503, "...", "bb"), (504, "ba do ki " * 5000, "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    known = {lang: p.tolist() for lang, p in langid.profiles(docs.where(langid.id_crc("doc_id") % 5 != 0)).items()}
+    key = lambda g: sum(ord(c) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+
+    def judged(text):
+        low = " " + " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()) + " "
+        count = Counter(g for n in (1, 2, 3) for k in range(len(low) - n + 1) for g in [low[k : k + n]] if g.strip() and (n < 3 or g[1] != " "))
+        if not count:
+            return "und"
+        own = [k for k, _ in sorted(((key(g), n) for g, n in count.items()), key=lambda x: (-x[1], x[0]))[:300]]
+        far = {lang: sum(abs(p.index(k) - r) if k in p else 300 for r, k in enumerate(own)) for lang, p in known.items()}
+        return min(sorted(far), key=far.get)
+
+    got = {r.doc_id: r.lang_pred for r in langid.learn_and_identify(docs).collect()}
+    assert got == {i: judged(t) for i, t, _ in rows}

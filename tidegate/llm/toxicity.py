@@ -1,18 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two trigram models of words, one of toxic and one of ordinary texts. Each interpolates discounted trigram counts with
-discounted continuation counts (after how many different word pairs a word comes, which copies of a text don't raise), and
-these with continuation counts that both classes share. How much mass goes to the shared counts is itself taken from both
-classes together, so an expression that is too rare to tell the classes apart has the same probability in both.
-
-The difference of the two log-likelihoods is
-normalised by length over each passage of PASSAGE words (a shorter text counts as one passage), and a text's difference
-is that of its most toxic passage: a mean over a whole long text would hide a few expressions. A logistic curve turns it
-into a probability; it is fitted on labelled rows that the models haven't seen.
-
-Words and trigrams are counted over all labelled rows that may be learned from. What is broadcast is bounded by parameters:
-a vocabulary of `words` words (by labelled documents, half by those of the toxic class), and `trigrams` trigrams that occur
-EVIDENCE times or more, by steps of their counts. Words beyond them count as one unknown word. The curve is fitted on about `fit_rows` rows, or all if there are fewer.
+Two models of words, one of toxic and one of ordinary texts. A word's probability in a class is its discounted continuation
+count there (after how many different words it comes, which copies of a text don't raise), interpolated with the
+continuation counts that both classes share. How much mass goes to the shared counts is the same for both classes, so an
+expression that is too rare to tell the classes apart has the same probability in both: n-grams seen in DISCOUNT contexts or
+fewer speak through the shared backoff alone.
+
+The difference of the two log-likelihoods is normalised by length, over the whole text and over each passage of PASSAGE
+words (a shorter text counts as one passage). A text's score is a logistic curve of both: of its whole, and of its most
+toxic passage, since a mean over a long text hides the few expressions that make it toxic. The curve is fitted by
+cross-fitting: rows are dealt to FOLDS folds by a hash of their texts, and each is judged by models of all other folds.
+
+All labelled rows that may be learned from are counted, all their words and pairs of words, and every word whose probability
+differs between the classes takes part in every score. The tables stay distributed; what is broadcast are the `shared` most
+frequent of these words at most. Where there are more, the occurrences of the rest are joined with their table by a shuffle.
+The curve is fitted on about `fit_rows` rows, or all if there are fewer.
 
 Defined results: a null or empty text, or one without words, gets the score of a difference of 0; rows with a null label
 or id teach nothing, and an id with several labels counts as toxic if one says so; if one class is missing the score is 0
@@ -21,258 +23,282 @@ for all; repeated rows score alike; other columns are ignored; an empty table gi
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import delete, id_crc, slices, stored
+from tidegate.llm.common import delete, fresh, id_crc, slices, stored
+from tidegate.llm.words import blocks
 
-WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
 PASSAGE = 4
-DISCOUNT = 3.0
-#: Contexts of a word, or occurrences of a trigram, in both classes together, below which only shared counts speak.
+DISCOUNT = 3
+#: Contexts of a word in both classes together below which only shared counts speak.
 LEAST = 5
-EVIDENCE = 20
-#: Occurrences with which the trigrams of both classes together smooth those of either class, in each context.
-PULL = 100.0
-_BITS = 40
-
-
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
-
-def hashed(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
-
-
-def contexts(hashes: np.ndarray) -> np.ndarray:
-    """For each word, its two words before as one of 2^40 contexts. hashes: of the words; -1 starts a text."""
-    h = np.concatenate([[-1, -1], hashes[:-1]]).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        x = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(64 - _BITS)).astype(np.int64)
-
-
-class KneserNey:
-    """vocabulary: ids from 1. held: for each id, its contexts in the ordinary and in the toxic class (row 0: all unknown
-    words); follows: in either class.
-
-    trigrams: keys id << 40 | context, ascending; their counts in each class; their context's count in both."""
-
-    def __init__(self, vocabulary: dict[str, int], held: np.ndarray, follows: np.ndarray, trigrams: np.ndarray, counts: np.ndarray, context: np.ndarray) -> None:
-        self.vocabulary = vocabulary
-        self.hashes = np.array([-2, *map(hashed, vocabulary)], np.int64)
-        shared = np.maximum(follows - DISCOUNT, 0)
-        total = max(follows.sum(), 1)
-        base = (shared + (total - shared.sum()) / len(shared)) / total
-        clear = np.where(held.sum(axis=1, keepdims=True) >= LEAST, np.maximum(held - DISCOUNT, 0), 0.0)
-        clear[0] = 0
-        mass = clear.sum(axis=0)
-        weight = float(np.max(1 - mass / np.maximum(held.sum(axis=0), 1))) if (mass > 0).all() else 1.0
-        word = weight * base[:, None] + (1 - weight) * clear / np.maximum(mass, 1e-9)
-        #: Log-likelihood difference of each word where no trigram tells more.
-        self.word = np.log(word[:, 1] / word[:, 0])
-
-        where, after = np.unique(trigrams & ((1 << _BITS) - 1), return_inverse=True)
-        left = np.maximum(counts - DISCOUNT, 0)
-        sums = np.stack([np.bincount(after, left[:, c], minlength=len(where)) for c in range(2)], axis=1) if len(where) else np.zeros((0, 2))
-        both = np.bincount(after, np.maximum(counts.sum(axis=1) - DISCOUNT, 0), minlength=len(where)) if len(where) else np.zeros(0)
-        back = 1 - both[after] / np.maximum(context, 1)
-        told = both[after] > 0
-        self.keys = trigrams[told]
-        either = (np.maximum(counts.sum(axis=1) - DISCOUNT, 0) / np.maximum(both[after], 1e-9))[told, None]
-        own = (left[told] + PULL * either) / (sums[after][told] + PULL)
-        p = back[told, None] * word[self.keys >> _BITS] + (1 - back[told, None]) * own
-        self.pair = np.log(p[:, 1] / p[:, 0])
-
-    def difference(self, text: str | None) -> float:
-        """Mean log P(word | toxic) - log P(word | ordinary) of the passage where it is greatest."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in words(text)], np.int64)
-        if not len(ids):
-            return 0.0
-        each = self.word[ids]
-        if len(self.keys):
-            key = (ids << _BITS) | contexts(self.hashes[ids])
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            held = (self.keys[at] == key) & (ids > 0)
-            each[held] = self.pair[at[held]]
-        if len(each) <= PASSAGE:
-            return float(each.sum() / PASSAGE)
-        sums = np.append(0, np.cumsum(each))
-        return float((sums[PASSAGE:] - sums[:-PASSAGE]).max() / PASSAGE)
-
-
+FOLDS = 5
+#: Words that are broadcast at most (a hash and six numbers each).
+SHARED = 2_000_000
+FIT_ROWS = 20_000
+_FLUSH = 2_000_000
+_RARE = "array<struct<at: int, value: float>>"
+
+
+def passages(each: np.ndarray) -> tuple[float, float]:
+    """Mean difference of a whole text, and of its most toxic passage."""
+    if not len(each):
+        return 0.0, 0.0
+    if len(each) <= PASSAGE:
+        return float(each.mean()), float(each.sum() / PASSAGE)
+    sums = np.append(0, np.cumsum(each, dtype=np.float64))
+    return float(sums[-1] / len(each)), float((sums[PASSAGE:] - sums[:-PASSAGE]).max() / PASSAGE)
+
+
+@dataclass
+class Differences:
+    """words: hashes, ascending. values: for each word log P(word | toxic) - log P(word | ordinary), in a column for the
+    models without each fold, and a last one for those of all rows. rare: the rest of the table, if it isn't all here."""
+
+    words: np.ndarray
+    values: np.ndarray
+    rare: DataFrame | None = None
+
+    def of(self, hashes: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each word (0 for words that tell nothing), and which are here."""
+        if not len(self.words):
+            return np.zeros(len(hashes)), np.zeros(len(hashes), bool)
+        at = np.searchsorted(self.words, hashes)
+        at[at == len(self.words)] = 0
+        held = self.words[at] == hashes
+        return np.where(held, self.values[at, column], 0.0), held
+
+
+@dataclass
 class Toxicity:
-    def __init__(self, model: KneserNey | None, slope: float = 1.0, shift: float = 0.0) -> None:
-        self.model, self.slope, self.shift = model, slope, shift
+    """weights: of the whole text, of the passage, and a constant."""
 
-    def score(self, text: str | None) -> float:
-        if self.model is None:
-            return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.model.difference(text) + self.shift, -60, 60))))
+    table: Differences | None
+    weights: tuple[float, float, float] = (0.0, 4.0, -2.0)
 
+    def score(self, whole: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            return np.zeros(len(whole))
+        a, b, c = self.weights
+        return 1 / (1 + np.exp(-np.clip(a * whole + b * passage + c, -60, 60)))
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the likeliest logistic curve, with a slight pull of the slope towards 0."""
-    scale = max(float(np.std(x)), 1e-6)
-    z, a, b = x / scale, 1.0, 0.0
+
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the columns of x, and a constant, of the likeliest logistic curve, with a slight pull towards 0."""
+    scale = np.maximum(x.std(axis=0), 1e-6)
+    z = np.column_stack([x / scale, np.ones(len(x))])
+    pull = np.append(np.full(x.shape[1], 0.02), 1e-4)
+    w = np.zeros(z.shape[1])
     for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-        slope = np.array([((p - y) * z).sum() + 0.02 * a, (p - y).sum() + 1e-4 * b])
-        d = p * (1 - p)
-        bend = np.array([[(d * z * z).sum() + 0.02, (d * z).sum()], [(d * z).sum(), d.sum() + 1e-4]])
-        step = np.linalg.solve(bend, slope)
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull), z.T @ (p - y) + pull * w)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
-        a, b = a - step[0], b - step[1]
+        w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return a / scale, b
+    return np.append(w[:-1] / scale, w[-1])
 
 
 def _batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _greatest(df: DataFrame, n: "F.Column", most: int) -> DataFrame:
-    """Rows of the greatest n: as many steps of a sixteenth of a power of two, from the top, as have `most` rows at most.
-
-    A histogram of the steps (some hundred rows) gives the bound, so that no task sorts the rows of all others."""
-    rows = df.where(n > 0).withColumn("__step", F.floor(F.log2(n) * 16))
-    held, least = 0, None
-    for r in rows.groupBy("__step").agg(F.count("*").alias("n")).orderBy(F.col("__step").desc()).collect():
-        held += r.n
-        if held > most:
-            break
-        least = r["__step"]
-    return (rows.where(F.col("__step") >= least) if least is not None else rows.limit(most)).drop("__step")
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[int]] = {}
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, toxic, fold: the different pairs of a word and a hash of the word before it (0: none), with a bit for each fold
+    and class that has the pair."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    kept = 0
 
     def out() -> pa.RecordBatch:
-        return _batch(word=pa.array(list(held), pa.string()), n0=pa.array([n[0] for n in held.values()]), n1=pa.array([n[1] for n in held.values()]))
+        word, before, mask = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((before, word))
+        word, before, mask = word[order], before[order], mask[order]
+        cuts = np.flatnonzero(np.append(True, (np.diff(word) != 0) | (np.diff(before) != 0)))
+        return _batch(word=pa.array(word[cuts].astype(np.int64)), before=pa.array(before[cuts].astype(np.int32)), mask=pa.array(np.bitwise_or.reduceat(mask, cuts)))
 
     for b in slices(batches):
-        for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for w in set(words(t)):
-                held.setdefault(w, [0, 0])[y] += 1
-            if len(held) > 200_000:
+        toxic, fold = b.column(1).to_pylist(), b.column(2).to_pylist()
+        for i, w in blocks(b.column(0).to_pylist()):
+            each = np.diff(w.first)
+            n = int(w.first[-1])
+            before = np.append(np.uint32(0), (w.hashes[:n] >> np.uint64(32)).astype(np.uint32) | np.uint32(1))[:n]
+            before[w.first[:-1][each > 0]] = 0
+            bits = np.array([1 << (2 * fold[i + k] + toxic[i + k]) for k in range(len(each))], np.int32)
+            held.append((w.hashes[:n], before, np.repeat(bits, each)))
+            kept += n
+            if kept > _FLUSH:
                 yield out()
-                held = {}
-    if held:
+                held, kept = [], 0
+    if kept:
         yield out()
 
 
-def learn(docs: DataFrame, labels: DataFrame, words_kept: int = 50_000, trigrams_kept: int = 400_000, fit_rows: int = 20_000) -> Toxicity:
+def _sets() -> list[tuple[int, int]]:
+    """Bits of the ordinary and the toxic class, without each fold and in all."""
+    both = [[1 << (2 * f + c) for f in range(FOLDS)] for c in (0, 1)]
+    return [(sum(both[0]) - both[0][f], sum(both[1]) - both[1][f]) for f in range(FOLDS)] + [(sum(both[0]), sum(both[1]))]
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """rows: text, toxic, fold. word, and for each of _sets() k the continuation counts n{k}_0, n{k}_1 and n{k} (in either)."""
+    pairs = rows.select("text", "toxic", "fold").mapInArrow(_count, "word long, before int, mask int").groupBy("word", "before").agg(F.bit_or("mask").alias("mask"))
+    has = lambda bits: F.count_if(F.col("mask").bitwiseAND(F.lit(bits)) != 0)
+    return pairs.groupBy("word").agg(*(f for k, (a, b) in enumerate(_sets()) for f in (has(a).alias(f"n{k}_0"), has(b).alias(f"n{k}_1"), has(a | b).alias(f"n{k}"))))
+
+
+def _clear(k: int, c: int) -> Column:
+    """Discounted count of a class, if both have LEAST together."""
+    return F.when(F.col(f"n{k}_0") + F.col(f"n{k}_1") >= LEAST, F.greatest(F.col(f"n{k}_{c}") - DISCOUNT, F.lit(0))).otherwise(F.lit(0))
+
+
+def differences(counts: DataFrame, shared: int = SHARED) -> Differences | None:
+    """None if a class has no word."""
+    sums = []
+    for k in range(FOLDS + 1):
+        n = F.col(f"n{k}")
+        sums += [F.count_if(n > 0).alias(f"v{k}"), F.sum(n).alias(f"t{k}"), F.sum(F.greatest(n - DISCOUNT, F.lit(0))).alias(f"d{k}")]
+        sums += [F.sum(x).alias(f"{name}{k}_{c}") for c in (0, 1) for name, x in (("t", F.col(f"n{k}_{c}")), ("c", _clear(k, c)))]
+    total = counts.agg(*sums).first()
+    if not total[f"t{FOLDS}_0"] or not total[f"t{FOLDS}_1"]:
+        return None
+    values = []
+    for k in range(FOLDS + 1):
+        mass = [total[f"c{k}_{c}"] for c in (0, 1)]
+        if not all(mass):
+            values.append(F.lit(0.0))
+            continue
+        backoff = max(1 - mass[c] / total[f"t{k}_{c}"] for c in (0, 1))
+        base = (F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0)) + (total[f"t{k}"] - total[f"d{k}"]) / total[f"v{k}"]) / total[f"t{k}"]
+        p = [backoff * base + (1 - backoff) * _clear(k, c) / mass[c] for c in (0, 1)]
+        values.append(F.log(p[1] / p[0]))
+    n = F.col(f"n{FOLDS}")
+    # What isn't above the discount in either class has the same probability in both.
+    told = counts.where((_clear(FOLDS, 0) > 0) | (_clear(FOLDS, 1) > 0))
+    steps = [(r.step, r.words) for r in told.groupBy(F.floor(F.log2(n) * 16).alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()]
+    held, least = 0, None
+    for step, words in steps:
+        held += words
+        if held > shared:
+            break
+        least = step
+    table = told.select("word", F.floor(F.log2(n) * 16).alias("step"), F.array(*(v.cast("float") for v in values)).alias("values"))
+    near = table.where(F.col("step") >= (F.lit(least) if least is not None else F.lit(1 << 20))).select("word", "values").toArrow()
+    word = near.column(0).to_numpy().astype(np.uint64)
+    got = near.column(1).combine_chunks().flatten().to_numpy().reshape(-1, FOLDS + 1) if len(word) else np.zeros((0, FOLDS + 1), np.float32)
+    order = np.argsort(word)
+    rare = None if least == (steps[-1][0] if steps else None) else table.where(F.col("step") < (F.lit(least) if least is not None else F.lit(1 << 20))).select("word", "values")
+    return Differences(word[order], got[order], rare)
+
+
+def _with_rare(df: DataFrame, text_col: str, table: Differences | None, column: Column, name: str) -> DataFrame:
+    """df and a last column: places and values of a text's words that aren't broadcast (null: none). column: of the values."""
+    if table is None or table.rare is None:
+        return df.withColumn(name, F.lit(None).cast(_RARE))
+    near = df.sparkSession.sparkContext.broadcast(table.words)
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = Differences(near.value, np.zeros((len(near.value), 1), np.float32))
+        for b in slices(batches):
+            one, two, col = (b.column(c).to_numpy() for c in range(3))
+            for i, w in blocks(b.column(3).to_pylist()):
+                n = int(w.first[-1])
+                at = np.flatnonzero(~here.of(w.hashes[:n], 0)[1])
+                doc = np.searchsorted(w.first, at, side="right") - 1
+                yield _batch(one=pa.array(one[i + doc]), two=pa.array(two[i + doc]), col=pa.array(col[i + doc]), word=pa.array(w.hashes[at].astype(np.int64)), at=pa.array((at - w.first[doc]).astype(np.int32)))
+
+    # A text is known by 128 bits of its hashes; copies share their words.
+    marks = [F.xxhash64(text_col), F.xxhash64(F.lit(1), F.col(text_col))]
+    asked = df.where(F.col(text_col).isNotNull()).select(marks[0].alias("one"), marks[1].alias("two"), column.cast("int").alias("col"), F.col(text_col).alias("text"))
+    found = asked.mapInArrow(occurrences, "one long, two long, col int, word long, at int").join(table.rare, "word")
+    found = found.groupBy("one", "two", "col").agg(F.collect_set(F.struct("at", F.get("values", F.col("col")).alias("value"))).alias(name))
+    one, two, col = (fresh(df, n) for n in ("one", "two", "col"))
+    found = found.select(F.col("one").alias(one), F.col("two").alias(two), F.col("col").alias(col), name)
+    keyed = df.withColumn(one, marks[0]).withColumn(two, marks[1]).withColumn(col, column.cast("int"))
+    return keyed.join(found, [one, two, col], "left").select(*df.columns, name)
+
+
+def _measured(texts: list, rare: list, columns: list[int], table: Differences) -> tuple[np.ndarray, np.ndarray]:
+    """Differences of whole texts and of their most toxic passages."""
+    whole, passage = np.zeros(len(texts)), np.zeros(len(texts))
+    for i, w in blocks(texts):
+        of = {c: table.of(w.hashes, c)[0] for c in set(columns[i : i + len(w.first) - 1])}
+        for k in range(len(w.first) - 1):
+            each = of[columns[i + k]][w.first[k] : w.first[k + 1]]
+            for r in rare[i + k] or ():
+                each[r["at"]] = r["value"]
+            whole[i + k], passage[i + k] = passages(each)
+    return whole, passage
+
+
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, shared: int = SHARED) -> Toxicity:
     """docs: doc_id, text. labels: doc_id, toxic. All labelled rows of docs are counted."""
     spark = docs.sparkSession
     said = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(said.hint("merge"), "doc_id")  # labels grow with the documents
-    rows, folder = stored(rows.select("text", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold")), "labelled")
+    rows, folder = stored(rows.select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
     try:
-        return _fit(spark, rows, words_kept, trigrams_kept, fit_rows)
+        counts, counted = stored(word_counts(rows), "word-counts")
+        table = differences(counts, shared)
+        if table is None or table.rare is None:  # else it is read whenever scores are
+            delete(spark, counted)
+        return Toxicity(None) if table is None else Toxicity(table, _curve(spark, rows, table, fit_rows))
     finally:
         delete(spark, folder)
 
 
-def _fit(spark, rows: DataFrame, words_kept: int, trigrams_kept: int, fit_rows: int) -> Toxicity:
-    learned = rows.where("fold <> 0").select("text", "toxic")
-    counted = learned.mapInArrow(_count_words, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counted, folder = stored(counted, "words")
-    found = counted.where("n0 + n1 > 1")
-    toxic = _greatest(found, F.col("n1"), words_kept // 2)
-    common = _greatest(found, F.col("n0") + F.col("n1"), words_kept // 2)
-    top = sorted({r.word for part in (toxic, common) for r in part.collect()})
-    delete(spark, folder)
-    vocabulary = {w: k + 1 for k, w in enumerate(top)}
-    shared = spark.sparkContext.broadcast(vocabulary)  # words_kept words at most
-
-    def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        held: list[list[np.ndarray]] = [[], []]
-        other = [0, 0]  # unknown words
-        kept = 0
-
-        def out() -> pa.RecordBatch:
-            k0, n0 = np.unique(np.concatenate([*held[0], np.zeros(0, np.int64)]), return_counts=True)
-            k1, n1 = np.unique(np.concatenate([*held[1], np.zeros(0, np.int64)]), return_counts=True)
-            key = np.union1d(k0, k1)
-            a, b = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-            a[np.searchsorted(key, k0)], b[np.searchsorted(key, k1)] = n0, n1
-            return _batch(trigram=pa.array(key), n0=pa.array(a), n1=pa.array(b))
+def _curve(spark, rows: DataFrame, table: Differences, fit_rows: int) -> tuple[float, float, float]:
+    # A hash of the text draws about fit_rows rows where there are more; no task needs to see the others.
+    drawn = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, fit_rows / max(rows.count(), 1))))
+    asked = _with_rare(rows.where(drawn), "text", table, F.col("fold"), "rare")
+    broadcast = spark.sparkContext.broadcast(Differences(table.words, table.values))
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = words(t)
-                if own:
-                    ids = np.array([get(w, 0) for w in own], np.int64)
-                    key = (ids << _BITS) | contexts(np.array([*map(hashed, own)], np.int64))
-                    other[y] += int((ids == 0).sum())
-                    held[y].append(key[ids > 0])
-                    kept += int((ids > 0).sum())
-                if kept > 1_000_000:
-                    yield out()
-                    held, kept = [[], []], 0
-        if kept:
-            yield out()
-        if any(other):
-            yield _batch(trigram=pa.array([-1]), n0=pa.array(other[:1]), n1=pa.array(other[1:]))
-
-    pairs, folder = stored(learned.mapInArrow(count_trigrams, "trigram long, n0 long, n1 long").groupBy("trigram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "trigrams")
-    try:
-        word = F.shiftright("trigram", _BITS)
-        unknown = pairs.where("trigram < 0").select("n0", "n1").first() or (0, 0)
-        follows = pairs.where("trigram >= 0").groupBy(word.cast("int").alias("word")).agg(*(F.sum(F.expr(c).cast("long")).alias(n) for c, n in (("n0 > 0", "f0"), ("n1 > 0", "f1"), ("n0 + n1 > 0", "f")))).toPandas()  # a row for each word kept
-        place = F.col("trigram").bitwiseAND(F.lit((1 << _BITS) - 1))
-        strong = _greatest(pairs.where((F.col("n0") + F.col("n1") >= EVIDENCE) & (word > 0)), F.col("n0") + F.col("n1"), trigrams_kept).withColumn("place", place)
-        totals = pairs.groupBy(place.alias("place")).agg(F.sum(F.col("n0") + F.col("n1")).alias("total"))
-        got = strong.join(totals, "place").toPandas().sort_values("trigram")  # trigrams_kept rows at most
-    finally:
-        delete(spark, folder)
-    counts = np.zeros((len(vocabulary) + 1, 3))
-    counts[follows["word"].to_numpy(np.int64)] = follows[["f0", "f1", "f"]].to_numpy(float).reshape(-1, 3)
-    counts[0] = unknown[0], unknown[1], unknown[0] + unknown[1]
-    if (counts.sum(axis=0) == 0).any():
-        return Toxicity(None)
-    model = KneserNey(vocabulary, counts[:, :2], counts[:, 2], got["trigram"].to_numpy(np.int64), got[["n0", "n1"]].to_numpy(float).reshape(-1, 2), got["total"].to_numpy(float))
-    broadcast = spark.sparkContext.broadcast(model)
-
-    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield _batch(x=pa.array([broadcast.value.difference(x) for x in b.column(0).to_pylist()], pa.float64()), toxic=b.column(1))
+            whole, passage = _measured(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(2).to_pylist(), broadcast.value)
+            yield _batch(whole=pa.array(whole), passage=pa.array(passage), toxic=b.column(1))
 
-    # A hash of the text draws about fit_rows rows where there are more; no task needs to see the others.
-    unseen = rows.where("fold = 0")
-    drawn = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, fit_rows / max(unseen.count(), 1))))
-    unseen = unseen.where(drawn).select("text", "toxic").mapInArrow(differences, "x double, toxic int").toPandas()
-    y = unseen["toxic"].to_numpy(float)
+    got = asked.select("text", "toxic", "fold", "rare").mapInArrow(measure, "whole double, passage double, toxic int").toArrow()
+    y = got.column("toxic").to_numpy().astype(float)
     if y.sum() == 0 or y.sum() == len(y):
-        return Toxicity(model, 4.0, -2.0)
-    return Toxicity(model, *logistic(unseen["x"].to_numpy(float), y))
+        return Toxicity(None).weights
+    return tuple(map(float, logistic(np.column_stack([got.column(c).to_numpy() for c in ("whole", "passage")]), y)))
 
 
 def scores(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id, held_out, score, predicted, whole, passage (the differences that the score is made of)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(id_crc("doc_id") % 3 == 1, F.lit(False)).alias("held_out"), "text")
+    rows = _with_rare(rows, "text", model.table, F.lit(FOLDS), "rare")
+    judge = _judge(docs, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield _batch(doc_id=b.column(0), held_out=b.column(1), score=pa.array([shared.value.score(x) for x in b.column(2).to_pylist()], pa.float64()))
+            whole, passage, found = judge(b.column(2).to_pylist(), b.column(3).to_pylist())
+            yield _batch(doc_id=b.column(0), held_out=b.column(1), score=pa.array(found), whole=pa.array(whole), passage=pa.array(passage))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(id_crc("doc_id") % 3 == 1, F.lit(False)).alias("held_out"), "text")
-    found = rows.mapInArrow(score, "doc_id long, held_out boolean, score double")
-    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    found = rows.mapInArrow(score, "doc_id long, held_out boolean, score double, whole double, passage double")
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "whole", "passage")
+
+
+def _judge(docs: DataFrame, model: Toxicity):
+    """Differences and scores of texts, by a broadcast model."""
+    table = model.table and Differences(model.table.words, model.table.values[:, -1:])
+    shared = docs.sparkSession.sparkContext.broadcast(Toxicity(table, model.weights))
+
+    def judge(texts: list, rare: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known = shared.value
+        if known.table is None:
+            return (np.zeros(len(texts)),) * 3
+        whole, passage = _measured(texts, rare, [0] * len(texts), known.table)
+        return whole, passage, known.score(whole, passage)
+
+    return judge
 
 
 def learned_from(docs: DataFrame, labels: DataFrame) -> Toxicity:
@@ -286,11 +312,15 @@ def learn_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def ordinary(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(learned_from(docs, labels))
+    model = learned_from(docs, labels)
+    judge = _judge(docs, model)
+    name = fresh(docs, "rare")
+    rows = _with_rare(docs, "text", model.table, F.lit(FOLDS), name)
     at = docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield b.filter(pa.array([shared.value.score(x) < threshold for x in b.column(at).to_pylist()], pa.bool_()))
+            _, _, found = judge(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist())
+            yield b.select(b.schema.names[:-1]).filter(pa.array(found < threshold))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return rows.mapInArrow(clean, docs.schema)
