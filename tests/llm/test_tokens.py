@@ -38,6 +38,14 @@ def test_added_tokens_are_the_library_s(texts):
     assert [list(x) for x in bpe.encoder(PATH).encode(texts)] == [want(t) for t in texts]
 
 
+def test_code_points_left_out_are_unassigned_or_private():
+    import sys
+    import unicodedata
+
+    listed = set(bpe.assigned())
+    assert {unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1) if c not in listed} <= {"Cn", "Co"}
+
+
 def test_long_texts_and_forgetting():
     e = bpe.ByteBpe(PATH, remembered=50)
     assert [list(x) for x in e.encode(TEXTS)] == [want(t) for t in TEXTS]

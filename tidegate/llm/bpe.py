@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -24,11 +25,17 @@ BLOCK = 1 << 21
 _SAFE = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 
 
+def assigned() -> Iterator[int]:
+    """Code points that can be letters, numbers, marks or signs; all others are unassigned or for private use."""
+    yield from range(0x40000)
+    yield from range(0xE0000, 0xE1000)
+
+
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Class and random hash value of every code point."""
     kinds = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
+    for c in assigned():
         k = unicodedata.category(chr(c))[0]
         if k == "L":
             kinds[c] = LETTER

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,3 +83,17 @@ def chunks(texts: list[str], budget: int) -> Iterator[tuple[int, int]]:
         size += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+def packed(records: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Records of each bucket, byte by byte of all of them, as most records share their high bytes, which then compress."""
+    order = np.argsort(bucket, kind="stable")
+    records, bucket = records[order], bucket[order]
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+    for i, j in zip(cuts, np.append(cuts[1:], len(bucket)) if len(bucket) else []):
+        yield int(bucket[i]), records[i:j].view(np.uint8).reshape(j - i, -1).T.tobytes()
+
+
+def unpacked(parts: list[bytes], kind: np.dtype) -> np.ndarray:
+    bytes_ = [np.frombuffer(p, np.uint8).reshape(kind.itemsize, -1).T for p in parts]
+    return np.ascontiguousarray(np.concatenate(bytes_)).reshape(-1).view(kind) if parts else np.zeros(0, kind)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate.llm.bpe import assigned
 from tidegate.llm.common import chunks, id_crc, slices
 
 PROFILE = 300
@@ -36,7 +37,7 @@ _FLUSH = 200_000
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """Lower-case code point of each letter and mark, 32 for all else; and which are letters."""
     fold, letter = np.full(0x110000, 32, np.uint32), np.zeros(0x110000, bool)
-    for c in range(0x110000):
+    for c in assigned():
         k = unicodedata.category(chr(c))[0]
         if k in "LM":
             low = chr(c).lower()

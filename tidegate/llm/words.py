@@ -8,7 +8,7 @@ from functools import cache
 
 import numpy as np
 
-from tidegate.llm.bpe import Powers, code_points, span_hashes
+from tidegate.llm.bpe import Powers, assigned, code_points, span_hashes
 from tidegate.llm.common import chunks
 
 #: Code points that are worked on at once; a longer text is worked on alone.
@@ -20,7 +20,7 @@ _POWERS = Powers()
 def fold_table() -> tuple[np.ndarray, np.ndarray]:
     """Lower-case code point of each code point, and whether it belongs to a word."""
     fold, inside = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
-    for c in range(0x110000):
+    for c in assigned():
         ch = chr(c)
         if ch.isalnum() or ch == "_" or unicodedata.category(ch)[0] == "M":
             inside[c] = True
