@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import delete, fresh, id_crc, slices, stored
-from tidegate.llm.words import blocks
+from tidegate.llm.common import delete, fresh, id_crc, packed, shuffle_partitions, slices, stored, unpacked
+from tidegate.llm.words import blocks, mix
 
 THRESHOLD = 0.7
 PASSAGE = 4
@@ -44,6 +44,9 @@ FOLDS = 5
 SHARED = 2_000_000
 FIT_ROWS = 20_000
 _FLUSH = 2_000_000
+#: Parts that the pairs of one word are dealt to, and bytes of texts for each bucket of pairs.
+SPREAD, BUCKET = 16, 1 << 24
+_PAIR = np.dtype([("word", "<u8"), ("before", "<u4"), ("mask", "<u2")])
 _RARE = "array<struct<at: int, value: float>>"
 
 
@@ -110,47 +113,86 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, toxic, fold: the different pairs of a word and a hash of the word before it (0: none), with a bit for each fold
-    and class that has the pair."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    kept = 0
-
-    def out() -> pa.RecordBatch:
-        word, before, mask = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((before, word))
-        word, before, mask = word[order], before[order], mask[order]
-        cuts = np.flatnonzero(np.append(True, (np.diff(word) != 0) | (np.diff(before) != 0)))
-        return _batch(word=pa.array(word[cuts].astype(np.int64)), before=pa.array(before[cuts].astype(np.int32)), mask=pa.array(np.bitwise_or.reduceat(mask, cuts)))
-
-    for b in slices(batches):
-        toxic, fold = b.column(1).to_pylist(), b.column(2).to_pylist()
-        for i, w in blocks(b.column(0).to_pylist()):
-            each = np.diff(w.first)
-            n = int(w.first[-1])
-            before = np.append(np.uint32(0), (w.hashes[:n] >> np.uint64(32)).astype(np.uint32) | np.uint32(1))[:n]
-            before[w.first[:-1][each > 0]] = 0
-            bits = np.array([1 << (2 * fold[i + k] + toxic[i + k]) for k in range(len(each))], np.int32)
-            held.append((w.hashes[:n], before, np.repeat(bits, each)))
-            kept += n
-            if kept > _FLUSH:
-                yield out()
-                held, kept = [], 0
-    if kept:
-        yield out()
-
-
 def _sets() -> list[tuple[int, int]]:
     """Bits of the ordinary and the toxic class, without each fold and in all."""
     both = [[1 << (2 * f + c) for f in range(FOLDS)] for c in (0, 1)]
     return [(sum(both[0]) - both[0][f], sum(both[1]) - both[1][f]) for f in range(FOLDS)] + [(sum(both[0]), sum(both[1]))]
 
 
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    """Each pair once, in order of word, with all its bits."""
+    pairs = pairs[np.lexsort((pairs["before"], pairs["word"]))]
+    cuts = np.flatnonzero(np.append(True, (np.diff(pairs["word"]) != 0) | (np.diff(pairs["before"]) != 0))) if len(pairs) else []
+    out = pairs[cuts]
+    if len(out):
+        out["mask"] = np.bitwise_or.reduceat(pairs["mask"], cuts)
+    return out
+
+
+def _pairs(n: int):
+    """text, toxic, fold: the different pairs of a word and a hash of the word before it (0: none), with a bit for each fold
+    and class that has the pair, by n buckets of the word and some bits of the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        kept = 0
+
+        def out() -> pa.RecordBatch:
+            own = _distinct(np.concatenate(held))
+            parts = list(packed(own, (mix(own["word"] + own["before"] % np.uint64(SPREAD)) % np.uint64(n)).astype(np.int64)))
+            return _batch(bucket=pa.array([p[0] for p in parts], pa.int32()), records=pa.array([p[1] for p in parts], pa.binary()))
+
+        for b in slices(batches):
+            toxic, fold = b.column(1).to_pylist(), b.column(2).to_pylist()
+            for i, w in blocks(b.column(0).to_pylist()):
+                each = np.diff(w.first)
+                own = np.empty(len(w.hashes), _PAIR)
+                own["word"] = w.hashes
+                own["before"][1:] = (w.hashes[:-1] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                own["before"][w.first[:-1][each > 0]] = 0
+                own["mask"] = np.repeat(np.array([1 << (2 * fold[i + k] + toxic[i + k]) for k in range(len(each))], np.uint16), each)
+                held.append(own)
+                kept += len(own)
+                if kept > _FLUSH:
+                    yield out()
+                    held, kept = [], 0
+        if kept:
+            yield out()
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Continuation counts of the words of each bucket, from batches sorted by it; one bucket is held at a time."""
+
+    def out(parts: list[bytes]) -> pa.RecordBatch:
+        own = _distinct(unpacked(parts, _PAIR))
+        cuts = np.flatnonzero(np.append(True, own["word"][1:] != own["word"][:-1]))
+        sets = np.array([x for a, b in _sets() for x in (a, b, a | b)], np.uint16)
+        counts = np.add.reduceat(((own["mask"][:, None] & sets) != 0).astype(np.int32), cuts, axis=0).astype(np.int32)
+        ends = pa.array(np.arange(0, counts.size + 1, len(sets), dtype=np.int32))
+        return _batch(word=pa.array(own["word"][cuts].astype(np.int64)), counts=pa.ListArray.from_arrays(ends, pa.array(counts.reshape(-1))))
+
+    now, parts = None, []
+    for b in batches:
+        for bucket, records in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if bucket != now and parts:
+                yield out(parts)
+                parts = []
+            now = bucket
+            parts.append(records)
+    if parts:
+        yield out(parts)
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
     """rows: text, toxic, fold. word, and for each of _sets() k the continuation counts n{k}_0, n{k}_1 and n{k} (in either)."""
-    pairs = rows.select("text", "toxic", "fold").mapInArrow(_count, "word long, before int, mask int").groupBy("word", "before").agg(F.bit_or("mask").alias("mask"))
-    has = lambda bits: F.count_if(F.col("mask").bitwiseAND(F.lit(bits)) != 0)
-    return pairs.groupBy("word").agg(*(f for k, (a, b) in enumerate(_sets()) for f in (has(a).alias(f"n{k}_0"), has(b).alias(f"n{k}_1"), has(a | b).alias(f"n{k}"))))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(4 * shuffle_partitions(rows.sparkSession), size // BUCKET)
+    pairs = rows.select("text", "toxic", "fold").mapInArrow(_pairs(n), "bucket int, records binary").repartition("bucket").sortWithinPartitions("bucket")
+    counts = pairs.mapInArrow(_merged, "word long, counts array<int>")
+    names = [c for k in range(FOLDS + 1) for c in (f"n{k}_0", f"n{k}_1", f"n{k}")]
+    return counts.groupBy("word").agg(*(F.sum(F.col("counts")[i].cast("long")).alias(c) for i, c in enumerate(names)))
 
 
 def _clear(k: int, c: int) -> Column:
