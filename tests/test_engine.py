@@ -164,8 +164,98 @@ def test_spans_and_as_of(spark):
     controls = spark.createDataFrame([(1, 2, 0.5)], "k long, at long, gain double")
     found = telemetry.latest_before(rows.select("k", "at", "id"), controls, "k", "at", "id", "gain").orderBy("id").collect()
     assert [r.current for r in found] == [None, 0.5, 0.5, None]
-    env = one(spark, telemetry.envelope(F.create_map(F.lit("a"), F.lit("b")), "x.y", F.lit("7")))[0]
+    env = one(spark, telemetry.map_envelope(F.create_map(F.lit("a"), F.lit("b")), "x.y", F.lit("7")))[0]
     assert env == '{"a":"b","event_type":"x.y","correlation_id":"7"}'
+    wrapped = one(spark, *(telemetry.envelope(F.lit(v), "x.y", turn=F.lit("t")) for v in ("[1, 2]", "3", " {} ", '{"a": {"b": "}"}}')))
+    assert list(wrapped) == ['{"value":[1, 2],"event_type":"x.y","turn_id":"t"}', '{"value":3,"event_type":"x.y","turn_id":"t"}', '{"event_type":"x.y","turn_id":"t"}', '{"a": {"b": "}"},"event_type":"x.y","turn_id":"t"}']
+
+
+def test_paths_and_kinds(spark):
+    may = lambda path, *rules: one(spark, filters.read_allowed(F.lit(path), list(rules), "/srv"), filters.write_allowed(F.lit(path), list(rules), "/srv"))
+    assert list(may("a/b.txt", "a/*")) == [True, True] and list(may("a/../c", "a/*")) == [False, False] and list(may("a/../a/c", "a/*")) == [True, False]
+    assert list(may("/etc/passwd", "a/*")) == [False, False] and list(may("../../../x", "/x")) == [True, False] and list(may("a/b")) == [False, False]
+    rows = spark.createDataFrame([("s", 1, "Text"), ("s", 2, "Audio"), ("s", 3, None)], "stream_id string, seq long, kind string")
+    kept = lambda policy: sorted((r.seq, r.handled) for r in filters.admit(rows, ["text"], policy).collect())
+    assert kept("ignore") == kept("discard") == [(1, True)] and kept("forward") == [(1, True), (2, False), (3, False)]
+    with pytest.raises(Exception, match="unexpected packet of kind"):
+        kept("error")
+    with pytest.raises(ValueError):
+        kept("odd")
+    assert tuple(filters.discards(rows, ["Text"]).first()) == ("s", 3, 2)
+
+
+def test_session_names(spark):
+    def plain(text):
+        h = filters.OFFSET
+        for b in text.encode():
+            h = (h ^ b) * filters.PRIME % (1 << 64)
+        return f"{filters.ADJECTIVES[h % 21]}-{filters.NOUNS[(h >> 8) % 22]}-{(h >> 16) & 0xFFFF:04x}"
+
+    for text in ("", "a", "session-1", "é" * 40, "3f2c9f0e-77aa"):
+        assert one(spark, filters.session_name(F.lit(text)))[0] == plain(text)
+
+
+def test_translator_settings():
+    text.check_languages("en", "es", 512)
+    for bad in (("en", "en", 512), ("de", "es", 512), ("en", "fr", 512), ("en", "es", 31), ("en", "es", 2049)):
+        with pytest.raises(ValueError):
+            text.check_languages(*bad)
+
+
+def test_blanks_and_tags(spark):
+    r = one(spark, text.blank(F.lit("\t\u00a0\u2003\n")), text.blank(F.lit(" x ")), text.translated(F.lit("\u2003<unk> hi\n")), text.language_tag(F.lit("<|en|><|NEUTRAL|> hi"), F.lit("auto")), text.language_tag(F.lit("<|en|> hi"), F.lit("de")), text.without_tags(F.lit("<|en|><|NEUTRAL|> hi ")))
+    assert list(r) == [True, False, "hi", "en", "de", "hi"]
+
+
+def test_slow_inputs(spark):
+    rows = spark.createDataFrame([("a", t) for t in (1, 2, 5)] + [("b", t) for t in (2, 3, 5)], "pin string, tick long")
+    got = sorted((r.pin, r.tick, r.change) for r in fanin.slow_inputs(rows, ["a", "b"]).collect())
+    assert got == [("a", 3, "slow"), ("a", 5, "recovered")]
+
+
+def test_ogg_pages():
+    import random
+
+    from tidegate.sources import ogg
+
+    rnd = random.Random(3)
+    sizes = [1, 254, 255, 256, 510, 255 * 255 - 1, 255 * 255, 255 * 255 + 1, 150_000, 7]
+    sent = [bytes(rnd.randrange(256) for _ in range(n)) for n in sizes]
+    data, number = b"", 0
+    for k, p in enumerate(sent):
+        page, number = ogg.pages(p, 9, number, 960 * k, ogg.BEGINS if k == 0 else 0)
+        data += page
+    for step in (1, 37, 4096, len(data)):
+        if step == 1 and len(data) > 10_000:
+            continue
+        reader = ogg.PageReader()
+        got = [x for i in range(0, len(data), step) for x in reader.feed(data[i : i + step])]
+        assert [p for p, _ in got] == sent and [g for _, g in got] == [960 * k for k in range(len(sent))]
+    broken = bytearray(data)
+    broken[40] ^= 1  # in the second page: its packet is lost, the others aren't
+    assert len(ogg.PageReader().feed(bytes(broken))) == len(sent) - 1
+    # A known value: the check sum of a page with these nine characters.
+    assert ogg.checksum(b"123456789") == 0x89A1897F
+
+
+def test_runs_hold_state_across_batches(spark):
+    rows = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("t"), F.col("id").alias("id"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        got = telemetry.rate_limited(rows, ["k"], "t", "id", 100, 7).orderBy("t").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, state = [], {}
+    for t in range(5000):
+        start, n = state.get(t % 2, (None, 0))
+        if start is None or t - start >= 100:
+            start, n, ok = t, 1, True
+        else:
+            ok = n < 7
+            n += ok
+        state[t % 2] = start, n
+        want.append(ok)
+    assert [r.allowed for r in got] == want
 
 
 def test_filters(spark):

@@ -87,7 +87,7 @@ def test_checks():
 
 def test_gains_fuse_unless_read_between():
     steps = {"steps": [{"kind": "io::input"}, *[{"kind": "audio::gain", "params": {"gain": 2.0}}] * 3]}
-    assert [n.params.get("gain") for n in fuse_gains(compile_pipeline(steps)).nodes.values()] == [None, 8.0]
+    assert [n.params for n in fuse_gains(compile_pipeline(steps)).nodes.values()] == [{}, {"gain": 2.0, "chain": (2.0, 2.0)}]
     read = dag(a=("io::input", None), g=("audio::gain", "a"), h=("audio::gain", "g"), s=("core::sink", "g"))
     assert len(fuse_gains(compile_pipeline(read)).nodes) == 4
 
@@ -112,10 +112,156 @@ def test_batch(spark):
     text = text_packets(spark.createDataFrame([(1, "One here. Two here.")], "n long, t string"), F.lit("s"), F.col("n"), F.col("t"))
     ends = run_batch("steps: [{kind: 'io::input'}, {kind: 'core::text_chunker'}, {kind: 'core::json_serialize', params: {newline_delimited: true}}]", REGISTRY, {"step_0": text})
     assert [bytes(r.binary.data).decode() for r in ends["step_2"].orderBy("seq").collect()] == ['{"Text":"One here."}\n', '{"Text":"Two here."}\n']
-    tapped = build(compile_pipeline({"steps": [{"kind": "io::input"}, {"kind": "core::telemetry_tap"}, {"kind": "core::filter", "params": {"packet_types": ["text"]}}]}), REGISTRY, {"step_0": text})
+    tapped = build(compile_pipeline({"steps": [{"kind": "io::input"}, {"kind": "core::telemetry_tap", "params": {"packet_types": ["text"]}}, {"kind": "core::filter", "params": {"packet_types": ["text"]}}]}), REGISTRY, {"step_0": text})
     assert tapped["step_1.telemetry"].first().event_type == "text.received" and tapped["step_2"].count() == 1
 
 
+def steps(df, *nodes, output=None, **options):
+    ends = build(compile_pipeline({"steps": [{"kind": "io::input"}, *({"kind": k, "params": p} for k, p in nodes)]}), REGISTRY, {"step_0": df}, **options)
+    return ends[f"step_{len(nodes)}" + (f".{output}" if output else "")]
+
+
+def mixed(inputs, **params):
+    spec = {"nodes": {**{n: {"kind": "io::input"} for n in inputs}, "m": {"kind": "audio::mixer", "needs": list(inputs), "params": params}}}
+    return [(r.seq, r.audio.channels, list(r.audio.samples)) for r in build(compile_pipeline(spec), REGISTRY, inputs)["m"].orderBy("seq").collect()]
+
+
+def test_gains_are_checked_before_they_fuse(spark):
+    a = audio(spark, [[1.0]])
+    for bad in ([10.0, -0.5], [0.5, 4.1], [float("nan"), 1.0]):
+        with pytest.raises(ValueError, match="gain"):
+            steps(a, *(("audio::gain", {"gain": g}) for g in bad))
+    # Each step rounds to 32 bits, as two nodes would.
+    import numpy as np
+
+    x, g, h = np.float32(0.1), 0.7, 1.3
+    out = steps(audio(spark, [[float(x)]]), ("audio::gain", {"gain": g}), ("audio::gain", {"gain": h})).first().audio.samples[0]
+    assert np.float32(out) == np.float32(np.float64(np.float32(np.float64(x) * g)) * h)
+
+
+def test_mixer_widens_channels_and_keeps_them(spark):
+    stereo = audio(spark, [[10.0, 20.0, 30.0, 40.0]], "t").withColumn("audio", F.col("audio").withField("channels", F.lit(2)))
+    mono = audio(spark, [[1.0, 2.0], [5.0]])
+    assert mixed({"a": mono, "b": stereo}) == [(0, 2, [11.0, 21.0, 32.0, 42.0]), (1, 2, [5.0, 5.0])]
+    other = mono.withColumn("audio", F.col("audio").withField("sample_rate", F.lit(44_100)))
+    with pytest.raises(Exception, match="different rates"):
+        mixed({"a": mono, "b": other})
+    with pytest.raises(ValueError, match="inputs"):
+        mixed({"a": mono}, num_inputs=2)
+
+
+def test_mixer_waits_for_every_input(spark):
+    late = audio(spark, [[7.0], [8.0]], "t").withColumn("seq", F.col("seq") + 2)
+    early = audio(spark, [[1.0], [2.0], [3.0]])
+    # At 2 the latest frame of each is there; what came before is overwritten.
+    assert mixed({"a": early, "b": late}) == [(2, 1, [10.0]), (3, 1, [8.0])]
+    late_only = audio(spark, [[1.0], [2.0]])
+    assert mixed({"a": late_only, "b": late.where("seq > 2")}) == [(3, 1, [10.0])]
+    nothing = audio(spark, [[1.0]]).where("seq < 0")
+    assert mixed({"a": early, "b": nothing}, sync_timeout_ms=None) == []
+    assert len(mixed({"a": early, "b": nothing})) == 3
+
+
+def test_text_of_bytes(spark):
+    rows = lambda data: steps(audio(spark, [[0.0]]).withColumn("kind", F.lit("Binary")).withColumn("binary", F.struct(F.lit(bytearray(data)).alias("data"), F.lit(None).cast("string").alias("content_type"))), ("core::text_chunker", {}))
+    assert [r.text for r in rows("Grüße an alle. Und mehr".encode()).orderBy("seq").collect()] == ["Grüße an alle.", "Und mehr"]
+    with pytest.raises(Exception, match="UTF"):
+        rows(b"\xff\xfe bad. ").collect()
+
+
+def test_settings_of_audio_nodes(spark):
+    from tidegate.plans import media  # noqa: F401
+
+    a = audio(spark, [[0.1] * 480])
+    for params in ({"target_sample_rate": 0, "chunk_frames": 1}, {"target_sample_rate": 8000, "chunk_frames": 0}, {"target_sample_rate": 8000, "chunk_frames": 1, "output_frame_size": 100}):
+        with pytest.raises(ValueError):
+            steps(a, ("audio::resampler", params))
+    same = steps(a, ("audio::resampler", {"target_sample_rate": 48_000, "chunk_frames": 480, "output_frame_size": 240})).orderBy("seq").collect()
+    assert [len(r.audio.samples) for r in same] == [240, 240] and same[0].audio.samples[0] == pytest.approx(0.1)
+    two = a.unionByName(audio(spark, [[0.0]]).withColumn("seq", F.lit(9).cast("long")).withColumn("audio", F.col("audio").withField("sample_rate", F.lit(8000))))
+    with pytest.raises(Exception, match="format of a stream changes"):
+        steps(two, ("audio::resampler", {"target_sample_rate": 16_000, "chunk_frames": 480})).collect()
+    with pytest.raises(ValueError, match="both or neither"):
+        steps(a, ("audio::pacer", {"initial_channels": 1}))
+    with pytest.raises(ValueError, match="buffer_size"):
+        steps(a, ("core::pacer", {"buffer_size": 0}))
+
+
+def test_paced_audio_is_filled_with_silence(spark):
+    from tidegate.plans import media
+
+    a = audio(spark, [[0.5] * 960, [0.5] * 960]).withColumn("metadata", media.timing(F.col("seq") * 100_000, F.lit(None), F.col("seq")))
+    out = steps(a, ("audio::pacer", {"gap_ms": 50})).orderBy("metadata.timestamp_us").collect()
+    assert [r.metadata.timestamp_us for r in out] == [0, 20_000, 40_000, 60_000, 80_000, 100_000]
+    assert [max(r.audio.samples) for r in out] == [0.5, 0, 0, 0, 0, 0.5] and {len(r.audio.samples) for r in out} == {960}
+    assert steps(a, ("audio::pacer", {"gap_ms": 50, "generate_silence": False})).count() == 2
+
+
+def test_files_of_streams(spark, tmp_path):
+    rows = spark.createDataFrame([("a", k, f"part {k} ") for k in range(30)] + [("b", 0, None)], "s string, n long, t string")
+    packets_ = text_packets(rows, F.col("s"), F.col("n"), F.col("t")).withColumn("kind", F.when(F.col("text").isNotNull(), "Binary").otherwise("Text")).withColumn("binary", F.when(F.col("text").isNotNull(), F.struct(F.encode("text", "UTF-8").alias("data"), F.lit(None).cast("string").alias("content_type"))))
+    out = steps(packets_, ("core::file_writer", {"path": str(tmp_path / "out")}), output="written")
+    got = {r.stream_id: r for r in out.collect()}
+    assert (got["a"].n_bytes, got["a"].discarded, got["b"].n_bytes, got["b"].discarded) == (len("".join(f"part {k} " for k in range(30))), 0, 0, 1)
+    back = spark.read.parquet(str(tmp_path / "out")).where("stream = 'a'").orderBy("seq").collect()
+    assert b"".join(bytes(r.data) for r in back).decode() == "".join(f"part {k} " for k in range(30))
+
+
+def test_telemetry_of_all_kinds(spark):
+    said = F.struct(F.lit("x" * 120).alias("text"), F.array(F.struct(F.lit("a").alias("text"), F.lit(0).cast("long").alias("start_time_ms"), F.lit(9).cast("long").alias("end_time_ms"), F.lit(0.5).cast("float").alias("confidence"))).alias("segments"), F.lit("en").alias("language"))
+    one = audio(spark, [[3.0, -4.0]]).withColumn("metadata", F.struct(F.lit(5_000_000).cast("long").alias("timestamp_us"), F.lit(None).cast("long").alias("duration_us"), F.lit(0).cast("long").alias("sequence")))
+    rows = one.unionByName(one.withColumn("kind", F.lit("Transcription")).withColumn("transcription", said).withColumn("seq", F.lit(1).cast("long")))
+    every = ["Audio", "Transcription", "Custom", "Text", "Binary"]
+    tap = {r.event_type: r.data for r in steps(rows, ("core::telemetry_tap", {"packet_types": every}), output="telemetry").collect()}
+    assert tap["audio.level"] == '{"event_type":"audio.level","rms":3.5355339059327378,"peak":4.0,"sample_count":2,"sample_rate":48000,"channels":1}'
+    assert tap["stt.result"].startswith('{"text_preview":"' + "x" * 100 + '...","segment_count":1,"segments":[{') and tap["stt.result"].endswith('"event_type":"stt.result"}')
+    out = {r.event_type: r.data for r in steps(rows, ("core::telemetry_out", {"packet_types": every}), output="telemetry").collect()}
+    assert set(out) == {"stt.result"} and '"text_length":120,"language":"en"' in out["stt.result"].replace('"segment_count":1,', "")
+    many = rows.where("kind = 'Transcription'").withColumn("seq", F.explode(F.expr("sequence(0L, 9L)")))
+    assert steps(many, ("core::telemetry_out", {"max_events_per_sec": 3}), output="telemetry").count() == 3
+
+
+def test_best_effort_connections_drop(spark):
+    from tidegate.plans import media
+    from tidegate.plans.compiler import unread
+
+    a = audio(spark, [[0.0]] * 6).withColumn("metadata", media.timing(F.floor(F.col("seq") / 3), F.lit(None), F.lit(None)))
+    spec = {"nodes": {"a": {"kind": "io::input"}, "b": {"kind": "io::output", "needs": {"node": "a", "mode": "best_effort"}}, "c": {"kind": "io::output", "needs": "a"}}}
+    p = compile_pipeline(spec)
+    got = build(p, REGISTRY, {"a": a}, capacity=2)
+    assert sorted(r.seq for r in got["b"].collect()) == [0, 1, 3, 4] and got["c"].count() == 6
+    assert build(p, REGISTRY, {"a": a})["b"].count() == 6
+    assert unread(p, REGISTRY) == ["b.out", "c.out"]
+
+
+def test_voice_settings():
+    from tidegate.plans.models import Shared, VadParams
+
+    assert VadParams().updated(output_mode="filtered_audio").output_mode == "filtered_audio"
+    for bad in ({"threshold": 1.5}, {"min_silence_duration_s": -1.0}, {"window_size": 0}, {"output_mode": "odd"}):
+        with pytest.raises(ValueError):
+            VadParams(**bad)
+    with pytest.raises(ValueError, match="can't change"):
+        VadParams().updated(threshold=0.7)
+    made, shut = [], []
+    shared = Shared(lambda p: made.append(p) or p, shut.append)
+    assert shared.get(model="a", threads=2) is shared.get(threads=2, model="a") and shared.get(model="b")
+    shared.close()
+    assert len(made) == len(shut) == 2
+
+
+def test_transcribers_refuse_other_audio(spark):
+    from tidegate.plans import models
+    from tidegate.plans.registry import Registry
+
+    own = Registry()
+    own.kinds.update(REGISTRY.kinds)
+    models.speech_to_text("plugin::stt", None, lambda x: "", own)
+    p = compile_pipeline({"steps": [{"kind": "io::input"}, {"kind": "plugin::stt"}]})
+    with pytest.raises(Exception, match="16 kHz mono"):
+        build(p, own, {"step_0": audio(spark, [[0.0] * 600])})["step_1"].collect()
+
+
 def test_plugin(spark):
     def upper(frames, mark="!"):
         for pdf in frames:
@@ -148,3 +294,85 @@ def test_session(spark, tmp_path):
     assert sorted(r.audio.samples[0] for r in spark.table("doubling_step_1").collect()) == [0.5, 1.0]
     sessions.stop("doubling")
     assert not sessions.running
+
+
+def test_a_running_session_changes(spark, tmp_path):
+    a = audio(spark, [[0.25], [0.5]])
+    a.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(a.schema).parquet(str(tmp_path / "in"))
+    sessions = Sessions(REGISTRY)
+    p = compile_pipeline({"name": "live", "nodes": {"src": {"kind": "io::input"}, "g": {"kind": "audio::gain", "needs": "src", "params": {"gain": 2.0}}}})
+    session = sessions.start(p, {"src": stream}, str(tmp_path / "ck"))
+    value = lambda table: sorted(r.audio.samples[0] for r in spark.table(table).collect())
+    session.drain()
+    assert value("live_g") == [0.5, 1.0]
+    # A table in memory begins anew.
+    sessions.tune("live", "g", gain=4.0)
+    session.drain()
+    assert value("live_g") == [1.0, 2.0]
+    with pytest.raises(ValueError, match="gain"):
+        sessions.tune("live", "g", gain=9.0)
+    assert session.stats()["g"]["state"] == "Running"  # what doesn't compile changes nothing
+    sessions.add("live", "h", "audio::gain", {"gain": 0.5}, ["src"])
+    session.drain()
+    assert value("live_h") == [0.125, 0.25]
+    with pytest.raises(ValueError, match="exists"):
+        sessions.add("live", "h", "audio::gain")
+    # An output that reads from other nodes than before begins anew.
+    sessions.add("live", "i", "audio::gain", {"gain": 3.0}, ["g"])
+    session.drain()
+    assert value("live_i") == [3.0, 6.0] and set(session.queries) == {"h", "i"}
+    sessions.disconnect("live", "g", "i")
+    sessions.add("live", "j", "audio::gain", {"gain": 1.0}, ["h"])
+    session.drain()
+    assert value("live_j") == [0.125, 0.25] and set(session.queries) == {"g", "j"}
+    sessions.remove("live", "h")
+    assert set(session.pipeline.nodes) == {"src", "g"} and set(session.queries) == {"g"}
+    assert {e["event"] for e in session.events()} == {"node_state_changed", "node_stats_updated"}
+    sessions.stop("live", grace=True)
+    assert not sessions.running
+
+
+def test_a_tuned_node_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Only what is new gets the new gain."""
+    a = audio(spark, [[0.25], [0.5]])
+    a.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(a.schema).parquet(str(tmp_path / "in"))
+    sessions = Sessions(REGISTRY)
+    session = sessions.start(compile_pipeline({"name": "kept", "steps": [{"kind": "io::input"}, {"kind": "audio::gain", "params": {"gain": 2.0}}]}), {"step_0": stream}, str(tmp_path / "ck"), sink="parquet")
+    session.drain()
+    sessions.tune("kept", "step_1", gain=4.0)
+    audio(spark, [[1.0]]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    session.drain()
+    assert sorted(r.audio.samples[0] for r in spark.read.parquet(str(tmp_path / "ck" / "kept_step_1-0-rows")).collect()) == [0.5, 1.0, 4.0]
+    sessions.stop("kept")
+
+
+def test_a_failed_query_recovers(spark, tmp_path):
+    a = audio(spark, [[0.25]])
+    a.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(a.schema).parquet(str(tmp_path / "in"))
+    broken = tmp_path / "broken"
+    broken.write_text("")
+
+    def once(frames):
+        import os
+
+        for pdf in frames:
+            if os.path.exists(broken):
+                raise RuntimeError("not yet")
+            yield pdf[["stream_id", "seq", "kind"]]
+
+    broken = str(broken)
+    plugin("plugin::once", once, "stream_id string, seq long, kind string")
+    sessions = Sessions(REGISTRY)
+    session = sessions.start(compile_pipeline({"name": "flaky", "steps": [{"kind": "io::input"}, {"kind": "plugin::once"}]}), {"step_0": stream}, str(tmp_path / "ck"), profile="low_latency")
+    with pytest.raises(Exception, match="not yet"):
+        session.queries["step_1"].awaitTermination(60)
+    assert session.stats()["step_1"]["state"] == "Failed"
+    (tmp_path / "broken").unlink()
+    assert sessions.recover("flaky", wait=0.1) == ["step_1"] and session.failures == {"step_1": 1}
+    session.drain()
+    assert spark.table("flaky_step_1").count() == 1 and sessions.recover("flaky") == []
+    sessions.stop("flaky")
+    REGISTRY.unregister("plugin::once")

@@ -46,10 +46,15 @@ def telemetry_events(spark, sf_dir):
 
 @C.add("""SELECT event_id, event_type, user_id::VARCHAR AS correlation_id, props::JSON->>'k' AS k FROM events""")
 def telemetry_envelope(spark, sf_dir):
-    e = events(spark, sf_dir)
-    data = F.from_json("props", "map<string,string>")
-    made = e.select("event_id", telemetry.envelope(F.map_concat(data, F.create_map(F.lit("kind"), F.col("event_type"))), "custom.packet", F.col("user_id").cast("string")).alias("j"))
-    return made.select("event_id", F.get_json_object("j", "$.kind").alias("event_type"), F.get_json_object("j", "$.correlation_id").alias("correlation_id"), F.get_json_object("j", "$.k").alias("k"))
+    made = events(spark, sf_dir).select("event_id", telemetry.envelope(F.col("props"), F.col("event_type"), F.col("user_id").cast("string")).alias("j"))
+    return made.select("event_id", F.get_json_object("j", "$.event_type").alias("event_type"), F.get_json_object("j", "$.correlation_id").alias("correlation_id"), F.get_json_object("j", "$.k").alias("k"))
+
+
+@C.add("""SELECT event_id, event_type, 'turn-' || user_id AS turn_id, value AS value FROM events""")
+def telemetry_wrapped(spark, sf_dir):
+    """Values that aren't objects are wrapped; the turn's id goes along."""
+    made = events(spark, sf_dir).select("event_id", telemetry.envelope(F.col("value").cast("string"), F.col("event_type"), turn=F.concat(F.lit("turn-"), F.col("user_id").cast("string"))).alias("j"))
+    return made.select("event_id", *(F.get_json_object("j", f"$.{c}").alias(c) for c in ("event_type", "turn_id")), F.get_json_object("j", "$.value").cast("double").alias("value"))
 
 
 @C.add("""WITH s AS (SELECT *, epoch_us(ts) AS t_us, last_value(CASE WHEN event_type = 'view' THEN epoch_us(ts) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start_us FROM events)

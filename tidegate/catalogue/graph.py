@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegate.catalogue.common import Catalogue, table
 from tidegate.plans.compiler import compile_pipeline, levels
-from tidegate.plans.registry import allowed
+from tidegate.plans.registry import allowed_column
 from tidegate.plans.types import ANY, BINARY, OPUS, PASSTHROUGH, TEXT, TRANSCRIPTION, can_connect, custom, raw_audio
 
 C = Catalogue()
@@ -69,6 +69,6 @@ def type_compat_matrix(spark, sf_dir):
 
 @C.add("SELECT event_type, event_type LIKE 'c%' OR event_type = 'view' AS permitted FROM (SELECT DISTINCT event_type FROM events)")
 def allow_list(spark, sf_dir):
-    """Kinds against an allow-list of shell patterns; there are few kinds, so the compiler's own check runs on them."""
-    kinds = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().collect()]
-    return spark.createDataFrame([(k, allowed(k, ["c*", "view"])) for k in kinds], "event_type string, permitted boolean")
+    """Kinds against an allow-list of shell patterns."""
+    rows = table(spark, sf_dir, "events").select("event_type").distinct()
+    return rows.select("event_type", allowed_column(F.col("event_type"), ["c*", "view"]).alias("permitted"))

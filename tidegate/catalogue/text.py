@@ -13,6 +13,11 @@ C = Catalogue()
 QUERIES, ORACLE_SQL = C.queries, C.sql
 
 
+# Fixed value: what counts as White_Space.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+TRIM = " || ".join(f"chr({ord(c)})" for c in BLANKS)
+
+
 def _cuts(boundaries: list[str], min_length: int, ends: list[str]) -> str:
     """A recursive query that cuts as the chunker does. Streams of several turns feed the buffer one after another."""
     lit = lambda s: "'" + s.replace("\n", "'||chr(10)||'") + "'"
@@ -108,15 +113,40 @@ def chunk_words(spark, sf_dir):
     return chunker.chunks(table(spark, sf_dir, "documents"), "doc_id", ["doc_id"], "text", "words")
 
 
-@C.add()
+def _fed(boundaries: list[str], min_length: int, ends: list[str]) -> str:
+    """A recursive query that feeds a conversation's turns to one buffer and cuts after each as the chunker does."""
+    lit = lambda s: "'" + s.replace("\n", "'||chr(10)||'") + "'"
+    cases = " ".join(f"WHEN instr(buf, {lit(b)}) > 0 THEN instr(buf, {lit(b)}) + {len(b) - 1}" for b in boundaries)
+    ended = " OR ".join(f"ends_with(buf, {lit(e)})" for e in ends)
+    none = " AND ".join(f"instr(buf, {lit(b)}) = 0" for b in boundaries)
+    cut = f"CASE WHEN NOT fed OR strlen(buf) < {min_length} THEN 0 {cases} WHEN {ended} THEN length(buf) ELSE 0 END"
+    # fed: the buffer may be cut; else the next turn is added to it.
+    return f"""
+WITH RECURSIVE c AS (SELECT conv_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+r(conv_id, k, buf, fed, chunk, n) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '', FALSE, NULL::VARCHAR, 0::BIGINT FROM c
+  UNION ALL
+  SELECT s.conv_id, CASE WHEN cut = 0 THEN s.k + 1 ELSE s.k END, CASE WHEN cut > 0 THEN substr(buf, cut + 1) ELSE buf || c.text END, cut > 0 OR c.text <> '',
+         CASE WHEN cut > 0 THEN CASE WHEN whole THEN buf ELSE trim(substr(buf, 1, cut), ' ' || chr(9) || chr(10) || chr(13)) END END, CASE WHEN cut > 0 THEN n + 1 ELSE n END
+  FROM (SELECT *, {cut} AS cut, {none} AS whole FROM r) s LEFT JOIN c ON c.conv_id = s.conv_id AND c.k = s.k + 1
+  WHERE cut > 0 OR c.k IS NOT NULL
+), z AS (SELECT conv_id, buf, n, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC, n DESC, chunk IS NULL) AS last FROM r)
+SELECT conv_id, n AS chunk_no, chunk FROM r WHERE chunk IS NOT NULL
+UNION ALL SELECT conv_id, n + 1, buf FROM z WHERE last = 1 AND buf <> ''"""
+
+
+@C.add(_fed(chunker.SENTENCES, 10, list(chunker.SENTENCE_ENDS)))
 def chunk_turns(spark, sf_dir):
     """Turns of a conversation feed one buffer; a cut can fall between two of them."""
     return chunker.chunks(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "text", "sentences")
 
 
-@C.add("SELECT conv_id, turn, trim(replace(text, '<unk>', '')) AS kept FROM conversations WHERE trim(text) <> ''")
+@C.add(f"""WITH c AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN chr(9) || chr(160) || chr(10) WHEN 1 THEN chr(8195) || text || ' <unk>' || chr(10) ELSE text END AS t FROM conversations)
+SELECT conv_id, turn, trim(replace(t, '<unk>', ''), {TRIM}) AS kept FROM c WHERE trim(t, {TRIM}) <> ''""")
 def translate_skip_empty(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where(F.trim("text") != "")
+    """Turns of White_Space alone are skipped; marks of unknown words and White_Space around go."""
+    odd = F.when(F.col("turn") % 4 == 0, F.lit("\t\u00a0\n")).when(F.col("turn") % 4 == 1, F.concat(F.lit("\u2003"), F.col("text"), F.lit(" <unk>\n"))).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "conversations").withColumn("text", odd).where(~text.blank(F.col("text")))
     return rows.select("conv_id", "turn", text.translated(F.col("text")).alias("kept"))
 
 
@@ -153,6 +183,41 @@ def url_allow_list(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", filters.url_allowed(F.col("url"), rules).alias("permitted"))
 
 
+@C.add("""SELECT page_id, starts_with(url, 'https://') AND url LIKE 'https://%.example.org/%' AND page_id % 3 <> 0 AS permitted FROM pages""")
+def url_rules_with_methods(spark, sf_dir):
+    """Wildcards in the host, and a list of methods."""
+    method = F.when(F.col("page_id") % 3 == 0, "DELETE").when(F.col("page_id") % 3 == 1, "get").otherwise("Post")
+    return table(spark, sf_dir, "pages").select("page_id", filters.url_allowed(F.col("url"), ["https://*.example.org/*"], method, ["GET", "POST"]).alias("permitted"))
+
+
+_PATHS = "CASE doc_id % 5 WHEN 0 THEN 'data/' || doc_id WHEN 1 THEN 'data/../' || doc_id WHEN 2 THEN '/srv/data/./x' || doc_id WHEN 3 THEN '../data/' || doc_id ELSE 'data/../data/' || doc_id END"
+
+
+@C.add(f"SELECT doc_id, {_PATHS} AS path, doc_id % 5 IN (0, 2, 4) AS may_read, doc_id % 5 IN (0, 2) AS may_write FROM documents")
+def path_rules(spark, sf_dir):
+    """Paths are resolved before rules are tried; one with `..` is never written."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_PATHS).alias("path"))
+    return rows.select("doc_id", "path", filters.read_allowed(F.col("path"), ["data/*"], "/srv").alias("may_read"), filters.write_allowed(F.col("path"), ["/srv/data/*"], "/srv").alias("may_write"))
+
+
+_WORDS = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@C.add(f"""WITH h AS (SELECT conv_id, list_reduce(list_transform(range(1, strlen('session-' || conv_id) + 1), lambda i: ascii(substr('session-' || conv_id, i::INT, 1))::HUGEINT),
+  lambda a, b: (xor(a, b) * {filters.PRIME}::HUGEINT) % 18446744073709551616::HUGEINT, {filters.OFFSET}::HUGEINT) AS h FROM (SELECT DISTINCT conv_id FROM conversations))
+SELECT conv_id, {_WORDS(filters.ADJECTIVES)}[(h % {len(filters.ADJECTIVES)})::INT + 1] || '-' || {_WORDS(filters.NOUNS)}[((h // 256) % {len(filters.NOUNS)})::INT + 1] || '-' || lower(lpad(to_hex(((h // 65536) % 65536)::BIGINT), 4, '0')) AS name FROM h""")
+def session_names(spark, sf_dir):
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    return ids.select("conv_id", filters.session_name(F.concat(F.lit("session-"), F.col("conv_id").cast("string"))).alias("name"))
+
+
+@C.add("""SELECT conv_id::VARCHAR AS stream_id, count(*) AS received, count(*) FILTER (WHERE role <> 'user') AS discarded FROM conversations GROUP BY 1""")
+def kind_policies(spark, sf_dir):
+    """Roles act as packet kinds; a node takes those of users and counts the others."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("role").alias("kind"))
+    return filters.discards(rows, ["User"])
+
+
 @C.add("SELECT conv_id, turn FROM conversations WHERE strlen(text) >= 10 AND NOT starts_with(text, 'OpusHead') AND NOT starts_with(text, 'OpusTags')")
 def small_packet_skip(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("data", F.encode("text", "UTF-8"))

@@ -17,6 +17,16 @@ def gain(samples: Column, by: Column) -> Column:
     return F.transform(samples, lambda x: (x * by).cast("float"))
 
 
+def gains(samples: Column, by: list[float]) -> Column:
+    """Several gains in a row, each rounded to 32 bits as on its own."""
+    def each(x: Column) -> Column:
+        for g in by:
+            x = (x * F.lit(g)).cast("float")
+        return x
+
+    return F.transform(samples, each)
+
+
 def db_gain(db: float) -> float:
     return 10.0 ** (db / 20.0)
 
@@ -57,6 +67,15 @@ def mix(a: Column, b: Column) -> Column:
     return F.zip_with(F.coalesce(a, none), F.coalesce(b, none), lambda x, y: (F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))).cast("float"))
 
 
+def widened(samples: Column, source: Column, target: Column) -> Column:
+    """Channels repeated in a cycle up to the target, which is no less than the source."""
+    none = F.array().cast("array<float>")
+    n = F.floor(F.size(samples) / F.greatest(source, F.lit(1))).cast("int")
+    at = lambda k: F.get(samples, (F.floor(k / target) * source + (k % target) % source).cast("int"))
+    more = F.when((n > 0) & (target > 0), F.transform(F.sequence(F.lit(0), n * target - 1), at)).otherwise(none)
+    return F.when(source == target, samples).otherwise(more)
+
+
 def convert(samples: Column, source: int, target: int) -> Column:
     """Channel conversion: mono is duplicated to two, two are averaged to mono, else channels repeat in a cycle."""
     if source == target:

@@ -23,6 +23,11 @@ def _filled(**fields: Column) -> list[Column]:
     return [fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SCHEMA)]
 
 
+def packets(df: DataFrame, **fields: Column) -> DataFrame:
+    """Packet rows of df: named fields are set, the others kept where df has them, and null where it hasn't."""
+    return df.select(*_filled(**{c: F.col(c) for c in df.columns} | fields))
+
+
 def text_packets(df: DataFrame, stream: Column, seq: Column, text: Column) -> DataFrame:
     return df.select(*_filled(stream_id=stream, seq=seq, kind=F.lit("Text"), text=text))
 

@@ -55,9 +55,10 @@ def redact_json(size: int, suffix: str = "...[truncated]"):
 
 def sanitize(text: Column, kind: str = "wide") -> Column:
     """Keeps allowed characters, collapses blanks, and ends with a full stop unless there is an end already."""
-    kept = F.regexp_replace(text, f"[^{KEPT[kind]}]", "")
+    kept = F.regexp_replace(text, f"[^{KEPT[kind]}]+", "")
     flat = F.trim(F.regexp_replace(kept, "\\s+", " "))
-    return F.when(flat.rlike(f"[{ENDS[kind]}]$") | (flat == ""), flat).otherwise(F.concat(flat, F.lit(".")))
+    # The text is named once: an expression that several branches name would be worked out for each.
+    return F.transform(F.array(flat), lambda t: F.when(F.substring(t, -1, 1).isin(list(ENDS[kind])) | (t == ""), t).otherwise(F.concat(t, F.lit("."))))[0]
 
 
 def glob_any(kind: Column, patterns: list[str]) -> Column:
@@ -72,6 +73,36 @@ def kind_in(kind: Column, kinds: list[str]) -> Column:
     return F.lower(kind).isin([k.lower() for k in kinds])
 
 
+def stripped(text: Column) -> Column:
+    """Without White_Space at both ends (F.trim takes plain blanks alone)."""
+    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+
+
+def blank(text: Column) -> Column:
+    """Empty, or White_Space alone: such a text isn't translated."""
+    return ~text.rlike("(?U)\\S")
+
+
 def translated(text: Column) -> Column:
     """What is kept of a translator's output: its unknown-token marks go."""
-    return F.trim(F.replace(text, F.lit("<unk>"), F.lit("")))
+    return stripped(F.replace(text, F.lit("<unk>"), F.lit("")))
+
+
+def check_languages(source: str, target: str, max_length: int, known: tuple[str, ...] = ("en", "es")) -> None:
+    """A translator of two languages takes these, and not the same one twice; its output has 32 to 2048 tokens at most."""
+    for name, value in (("source_language", source), ("target_language", target)):
+        if value not in known:
+            raise ValueError(f"{name} '{value}' is none of {', '.join(known)}")
+    if source == target:
+        raise ValueError(f"source_language and target_language are both '{source}'")
+    if not 32 <= max_length <= 2048:
+        raise ValueError(f"max_length {max_length} is not within 32 .. 2048")
+
+
+def language_tag(text: Column, language: Column) -> Column:
+    """The language of a transcription: the configured one, or, if that is `auto`, what the model wrote as <|tag|>."""
+    return F.when(language == "auto", F.nullif(F.regexp_extract(text, "<\\|([^|]*)\\|>", 1), F.lit(""))).otherwise(language)
+
+
+def without_tags(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "<\\|[^|]*\\|>", ""))

@@ -26,6 +26,7 @@ class Chunker:
         self.boundaries, self.ends = (CLAUSES, CLAUSE_ENDS) if mode == "clauses" else (SENTENCES, SENTENCE_ENDS)
         #: N blanks, none of them the buffer's first character.
         self.nth_blank = re.compile(r"(?s:.)(?:\S*\s){%d}" % words)
+        self.blanks = re.compile(r"\s*")
 
     def feed(self, buffer: str, text: str) -> tuple[str, list[str]]:
         """The new buffer, and the chunks that the text completes."""
@@ -51,29 +52,30 @@ class Chunker:
         return buffer[at:], out
 
     def _words(self, buffer: str) -> tuple[str, list[str]]:
-        out = []
-        while len(buffer.split(None, self.words)) >= self.words:
-            found = self.nth_blank.match(buffer)
+        out, at = [], 0
+        left = len(buffer.split())
+        while left >= self.words:
+            found = self.nth_blank.match(buffer, at)
             if found:
                 out.append(found[0].strip())
-                buffer = buffer[found.end() :].lstrip()
+                left -= len(found[0].split())
+                at = self.blanks.match(buffer, found.end()).end()
                 continue
-            blanks = len(re.findall(r"\s", buffer[1:]))
-            if blanks == self.words - 1 and buffer:
-                out.append(buffer)
-                buffer = ""
+            if len(re.findall(r"\s", buffer[at + 1 :])) == self.words - 1 and at < len(buffer):
+                out.append(buffer[at:])
+                at = len(buffer)
             break
-        return buffer, out
+        return buffer[at:], out
 
 
-def chunks(df: DataFrame, stream: str, order: list[str], text: str, mode: str = "sentences", min_length: int = 10, words: int = 5) -> DataFrame:
-    """stream, chunk_no (from 1), chunk."""
+def chunks(df: DataFrame, stream: str, order: list[str], text: str, mode: str = "sentences", min_length: int = 10, words: int = 5, flush: bool = True) -> DataFrame:
+    """stream, chunk_no (from 1), chunk. flush: what a stream leaves in the buffer is its last chunk."""
     chunker = Chunker(mode, min_length, words)
 
     def step(state, row):
         key, buffer, n = state or (None, "", 0)
         if row is None:
-            return None, [(key, n + 1, buffer)] if buffer else []
+            return None, [(key, n + 1, buffer)] if buffer and flush else []
         buffer, made = chunker.feed(buffer, row[text] or "")
         return (row[stream], buffer, n + len(made)), [(row[stream], n + k + 1, c) for k, c in enumerate(made)]
 

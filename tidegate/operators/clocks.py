@@ -101,18 +101,44 @@ def fill_silence(df: DataFrame, stream: str, tick: str, value: Column) -> DataFr
     return spine.join(held, [stream, tick], "left").select(stream, tick, F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("packets", F.lit(0)).alias("packets"), F.col("packets").isNull().alias("silent"))
 
 
+def placed(df: DataFrame, stream: str, order: str, size: Column, *more: Column) -> DataFrame:
+    """df and __start: what its stream has before each row. Only ids and sizes are sorted by stream; the rows, which may be
+    large, meet their place by a join. more: columns worked out in the same window, by name."""
+    narrow = df.select(stream, order, size.alias("__n"), *more)
+    start = F.coalesce(F.sum("__n").over(before([stream], [order])), F.lit(0))
+    return narrow.withColumn("__start", start)
+
+
+def resample_frames(df: DataFrame, stream: str, order: str, samples: str, rate_in: int | Column, rate_out: int, channels: int | Column = 1) -> DataFrame:
+    """Linear interpolation of interleaved frames: output k of a channel lies at k * in / out, clamped to the last sample.
+    stream, order, first (k of the first output) and samples of each frame; a frame makes the outputs that fall between its
+    samples and up to the next frame's first, so frames are neither taken apart nor joined with each other."""
+    fixed = lambda v: F.lit(v) if isinstance(v, int) else v
+    rows = df.withColumn("__in", fixed(rate_in)).withColumn("__c", fixed(channels))
+    each = F.floor(F.size(samples) / F.greatest(F.col("__c"), F.lit(1))).cast("long")
+    narrow = placed(rows, stream, order, each, F.slice(F.col(samples), F.lit(1), F.col("__c")).alias("__head"))
+    narrow = narrow.withColumn("__next", F.first(F.when(F.col("__n") > 0, F.col("__head")), ignorenulls=True).over(Window.partitionBy(stream).orderBy(order).rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.join(narrow.select(stream, order, "__n", "__start", "__next"), [stream, order])
+    first = F.ceil(F.col("__start") * rate_out / F.col("__in")).cast("long")
+    after = F.ceil((F.col("__start") + F.col("__n")) * rate_out / F.col("__in")).cast("long")
+    rows = rows.withColumn("first", first).withColumn("__after", after)
+    x = F.col(samples)
+
+    def at(j: Column) -> Column:
+        """Output sample j of the frame, interleaved."""
+        c = (j % F.col("__c")).cast("int")
+        place = (F.col("first") + F.floor(j / F.col("__c"))) * F.col("__in") / F.lit(rate_out) - F.col("__start")
+        i = F.floor(place).cast("int")
+        here = F.get(x, i * F.col("__c") + c).cast("double")
+        there = F.when(i + 1 < F.col("__n"), F.get(x, (i + 1) * F.col("__c") + c)).otherwise(F.get("__next", c))
+        return here + (F.coalesce(there.cast("double"), here) - here) * (place - i)
+
+    none = F.array().cast("array<double>")
+    made = F.when(F.col("__after") > F.col("first"), F.transform(F.sequence(F.lit(0), ((F.col("__after") - F.col("first")) * F.col("__c")).cast("int") - 1), at)).otherwise(none)
+    return rows.select(stream, order, "first", made.alias("samples"))
+
+
 def resample(df: DataFrame, stream: str, order: str, samples: str, rate_in: int, rate_out: int) -> DataFrame:
-    """Linear interpolation of mono streams: output k lies at k * in / out, clamped to the last sample. stream, k, value.
-
-    Each input sample makes the outputs that fall between it and the next, so no join is needed."""
-    start = F.coalesce(F.sum(F.size(samples)).over(before([stream], [order])), F.lit(0))
-    # The window first: in one select with the generator it would run over exploded rows.
-    each = df.withColumn("__s", start).select(stream, "__s", F.posexplode(samples).alias("__p", "__x"))
-    each = each.select(stream, (F.col("__s") + F.col("__p")).alias("__i"), F.col("__x").cast("double").alias("__x"))
-    w = Window.partitionBy(stream).orderBy("__i")
-    each = each.withColumn("__y", F.coalesce(F.lead("__x").over(w), F.col("__x")))
-    first = F.ceil(F.col("__i") * rate_out / rate_in).cast("long")
-    after = F.ceil((F.col("__i") + 1) * rate_out / rate_in).cast("long")
-    made = each.withColumn("k", F.explode(F.when(after > first, F.sequence(first, after - 1)).otherwise(F.array().cast("array<bigint>"))))
-    part = F.col("k") * rate_in / rate_out - F.col("__i")
-    return made.select(stream, "k", (F.col("__x") + (F.col("__y") - F.col("__x")) * part).alias("value"))
+    """resample_frames of mono streams, one row for each output: stream, k, value."""
+    made = resample_frames(df, stream, order, samples, rate_in, rate_out).select(stream, "first", F.posexplode("samples").alias("__p", "value"))
+    return made.select(stream, (F.col("first") + F.col("__p")).alias("k"), "value")

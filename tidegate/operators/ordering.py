@@ -38,14 +38,20 @@ def running_total(df: DataFrame, key: str, value: Column, name: str, tie: str, b
     return rows.withColumn("__in", inside).join(F.broadcast(sums), "__part").withColumn(name, F.col("__before") + F.col("__in")).drop("__v", "__part", "__in", "__before")
 
 
-def rechunk(df: DataFrame, stream: str, order: str, samples: str, size: int) -> DataFrame:
-    """All samples of a stream in order, cut into chunks of `size` and a last shorter one: stream, chunk, samples."""
-    start = F.coalesce(F.sum(F.size(samples)).over(before([stream], [order])), F.lit(0))
-    # The window first: in one select with the generator it would run over exploded rows.
-    each = df.withColumn("__start", start).select(stream, "__start", F.posexplode(samples).alias("__pos", "__x"))
-    at = F.col("__start") + F.col("__pos")
-    each = each.select(stream, F.floor(at / size).alias("chunk"), F.struct((at % size).alias("i"), F.col("__x").alias("x")).alias("__s"))
-    return each.groupBy(stream, "chunk").agg(F.transform(F.sort_array(F.collect_list("__s")), lambda s: s["x"]).alias(samples))
+def rechunk(df: DataFrame, stream: str, order: str, samples: str, size: int | Column) -> DataFrame:
+    """All samples of a stream in order, cut into chunks of `size` (one value for each stream) and a last shorter one:
+    stream, chunk, samples. Frames are cut by slices, never sample by sample; only ids and sizes are sorted by stream."""
+    rows = df.withColumn("__size", F.lit(size) if isinstance(size, int) else size)
+    start = F.coalesce(F.sum("__n").over(before([stream], [order])), F.lit(0))
+    narrow = rows.select(stream, order, F.size(samples).alias("__n")).withColumn("__start", start).where("__n > 0")
+    rows = rows.join(narrow, [stream, order])
+    low, high = F.floor(F.col("__start") / F.col("__size")), F.floor((F.col("__start") + F.col("__n") - 1) / F.col("__size"))
+    each = rows.withColumn("chunk", F.explode(F.sequence(low, high)))
+    begin = F.greatest(F.col("chunk") * F.col("__size"), F.col("__start"))
+    end = F.least((F.col("chunk") + 1) * F.col("__size"), F.col("__start") + F.col("__n"))
+    part = F.slice(F.col(samples), (begin - F.col("__start") + 1).cast("int"), (end - begin).cast("int"))
+    each = each.select(stream, "chunk", F.struct(begin.alias("at"), part.alias("x")).alias("__s"))
+    return each.groupBy(stream, "chunk").agg(F.flatten(F.transform(F.sort_array(F.collect_list("__s")), lambda s: s["x"])).alias(samples))
 
 
 def fold(df: DataFrame, stream: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
@@ -78,3 +84,35 @@ def fold(df: DataFrame, stream: list[str], order: list[str], step: Callable, sch
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=kinds)
 
     return df.repartition(*stream).sortWithinPartitions(*stream, *order).mapInArrow(run, schema)
+
+
+def runs(df: DataFrame, stream: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
+    """Like fold, but step gets a stream's next rows as an Arrow table, column by column: step(state, table) returns the new
+    state and a table to emit."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    def differ(column) -> np.ndarray:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        a, b = column.slice(1), column.slice(0, len(column) - 1)
+        same = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False)
+        return ~(same | (a.is_null().to_numpy(zero_copy_only=False) & b.is_null().to_numpy(zero_copy_only=False)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            table = pa.Table.from_batches([b])
+            cuts = [0, *(np.flatnonzero(np.any([differ(b.column(c)) for c in stream], axis=0)) + 1).tolist(), b.num_rows]
+            made = []
+            for i, j in zip(cuts, cuts[1:]):
+                part = table.slice(i, j - i)
+                key = tuple(part.column(c)[0].as_py() for c in stream)
+                if key != now:
+                    now, state = key, None
+                state, out = step(state, part)
+                made.append(out)
+            yield from pa.concat_tables(made).combine_chunks().to_batches()
+
+    return df.repartition(*stream).sortWithinPartitions(*stream, *order).mapInArrow(run, schema)

@@ -6,9 +6,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.text import glob_any, kind_in, preview
-from tidegate.operators.ordering import fold, ordered
+from tidegate.operators.ordering import ordered, runs
 
 PREVIEW = 100
+# Fixed value: the type of voice-activity events, which a tap renames.
+VAD_TYPE = "plugin::native::vad/vad-event@1"
+#: Columns of an event.
+EVENT = ("stream_id", "seq", "event_type", "data", "timestamp_us")
+
+
+def with_fields(data: Column, **fields: Column) -> Column:
+    """A JSON object with more fields (null ones are left out); anything else becomes the field `value` of one."""
+    body = F.trim(data)
+    extra = F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+    inside = F.substring(extra, F.lit(2), F.length(extra) - 2)
+    rest = F.trim(F.substring(body, F.lit(2), F.length(body) - 2))
+    whole = body.startswith("{")
+    own = F.when(whole, rest).otherwise(F.concat(F.lit('"value":'), F.coalesce(body, F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(F.filter(F.array(own, inside), lambda p: p != ""), ","), F.lit("}"))
+
+
+def packet_events(packets: DataFrame, packet_types: list[str] | None = None, patterns: list[str] | None = None, tap: bool = False) -> DataFrame:
+    """Packets (functions.packets.SCHEMA) as events: `stt.result`, the type of a custom event, `text.received` and
+    `binary.received`; audio makes none here. tap: voice-activity types get a prefix and keep their own name beside it.
+
+    Patterns apply to custom events alone; no pattern lets all through."""
+    named = F.coalesce(F.get_json_object("custom.data", "$.event_type"), F.lit("custom.unknown"))
+    renamed = F.lit(tap) & (F.col("custom.type_id") == VAD_TYPE)
+    kind = F.when(F.col("kind") == "Custom", F.when(renamed, F.concat(F.lit("vad."), named)).otherwise(named))
+    for name, event in (("Transcription", "stt.result"), ("Text", "text.received"), ("Binary", "binary.received")):
+        kind = F.when(F.col("kind") == name, F.lit(event)).otherwise(kind)
+    said = F.col("transcription")
+    spoken = {"text_preview": preview(said["text"], PREVIEW), "segment_count": F.size(said["segments"])}
+    spoken |= {"segments": said["segments"]} if tap else {"text_length": F.octet_length(said["text"]), "language": said["language"]}
+    sized = {"size" if tap else "size_bytes": F.octet_length("binary.data"), "has_metadata": F.col("metadata").isNotNull()}
+    read = {"preview" if tap else "text_preview": preview(F.col("text"), PREVIEW), "length": F.octet_length("text")}
+    body = with_fields(F.col("custom.data"), source_type_id=F.col("custom.type_id"), source_event_type=F.when(renamed, named))
+    for name, fields in (("Transcription", spoken), ("Text", read), ("Binary", sized)):
+        body = F.when(F.col("kind") == name, F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))).otherwise(body)
+    rows = packets.where(kind_in(F.col("kind"), packet_types)) if packet_types is not None else packets
+    rows = rows.where("kind <> 'Audio'").withColumn("event_type", kind).withColumn("data", body)
+    rows = rows.where((F.col("kind") != "Custom") | glob_any(F.col("event_type"), patterns or []))
+    return rows.select("stream_id", "seq", "event_type", with_fields(F.col("data"), event_type=F.col("event_type")).alias("data"), F.col("metadata.timestamp_us").alias("timestamp_us"))
+
+
+def audio_levels(packets: DataFrame, every_us: int) -> DataFrame:
+    """`audio.level` events: root mean square, peak and number of the samples of each stream in each interval of event time."""
+    rows = packets.where("kind = 'Audio' and metadata.timestamp_us is not null")
+    x = F.col("audio.samples")
+    square = F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    top = F.aggregate(x, F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v.cast("double"))))
+    at = F.floor(F.col("metadata.timestamp_us") / every_us).cast("long")
+    rows = rows.select("stream_id", "seq", at.alias("at"), square.alias("square"), top.alias("top"), F.size(x).alias("n"), "audio.sample_rate", "audio.channels")
+    got = rows.groupBy("stream_id", "at").agg(F.max("seq").alias("seq"), F.sum("square").alias("square"), F.max("top").alias("peak"), F.sum("n").alias("n"), F.max_by(F.struct("sample_rate", "channels"), "seq").alias("last"))
+    rms = F.when(F.col("n") > 0, F.sqrt(F.col("square") / F.col("n"))).otherwise(F.lit(0.0))
+    body = F.to_json(F.struct(F.lit("audio.level").alias("event_type"), rms.alias("rms"), "peak", F.col("n").alias("sample_count"), "last.sample_rate", "last.channels"))
+    return got.select("stream_id", "seq", F.lit("audio.level").alias("event_type"), body.alias("data"), (F.col("at") * every_us).alias("timestamp_us"))
+
+
+def limited_events(events: DataFrame, most: int, window_us: int = 1_000_000) -> DataFrame:
+    """Events that the limit of each stream and type lets through; those without a time aren't limited."""
+    timed = events.where("timestamp_us is not null")
+    allowed = rate_limited(timed, ["stream_id", "event_type"], "timestamp_us", "seq", window_us, most, ["data"]).where("allowed")
+    return allowed.select(*EVENT).unionByName(events.where("timestamp_us is null").select(*EVENT))
 
 
 def text_events(packets: DataFrame, text: Column, *keep: str) -> DataFrame:
@@ -38,12 +98,15 @@ def lagged(df: DataFrame, stream: str, order: list[str], read: Column, capacity:
     return rows.withColumn("lost", F.greatest(F.col("sent") - read - capacity, F.lit(0)).cast("long"))
 
 
-def envelope(data: Column, event_type: str, correlation: Column | None = None) -> Column:
-    """A string-valued map as an event: its type and ids join it."""
-    extra = [F.lit("event_type"), F.lit(event_type)]
-    if correlation is not None:
-        extra += [F.lit("correlation_id"), correlation]
-    return F.to_json(F.map_concat(data, F.create_map(*extra)))
+def envelope(data: Column, event_type: Column | str, correlation: Column | None = None, turn: Column | None = None) -> Column:
+    """A JSON value as an event: its type and ids join an object, other values become its `value`."""
+    kind = F.lit(event_type) if isinstance(event_type, str) else event_type
+    none = F.lit(None).cast("string")
+    return with_fields(data, event_type=kind, correlation_id=none if correlation is None else correlation, turn_id=none if turn is None else turn)
+
+
+def map_envelope(data: Column, event_type: Column | str, correlation: Column | None = None, turn: Column | None = None) -> Column:
+    return envelope(F.to_json(data), event_type, correlation, turn)
 
 
 def only_kinds(packets: DataFrame, kind: str, kinds: list[str]) -> DataFrame:
@@ -60,25 +123,31 @@ def spans(df: DataFrame, stream: str, order: list[str], at_us: Column, opens: Co
     return rows.withColumn("end_us", F.col("__at")).withColumn("latency_us", F.col("end_us") - F.col("start_us")).drop("__at")
 
 
-def rate_limited(df: DataFrame, keys: list[str], at: str, tie: str, window_us: int, most: int) -> DataFrame:
+def rate_limited(df: DataFrame, keys: list[str], at: str, tie: str, window_us: int, most: int, keep: list[str] | None = None) -> DataFrame:
     """df: the keys, at (microseconds), tie. Adds allowed by a window that the first event of a key opens, and that the
     first event after its end opens anew; in it `most` events pass (one passes even if most is 0)."""
+    import numpy as np
 
-    def step(state, row):
-        if row is None:
-            return state, []
+    def step(state, part):
+        """A key's next rows: from window to window, whatever their number."""
+        times = part.column(at).to_numpy()
+        allowed = np.zeros(len(times), bool)
         start, n = state or (None, 0)
-        if start is None or row[at] - start >= window_us:
-            start, n, ok = row[at], 1, True
-        elif n >= most:
-            ok = False
-        else:
-            n, ok = n + 1, True
-        return (start, n), [(*(row[k] for k in keys), row[at], row[tie], ok)]
+        i = 0
+        while i < len(times):
+            end = int(np.searchsorted(times, start + window_us)) if start is not None else i
+            if end > i:
+                allowed[i : min(i + max(most - n, 0), end)] = True
+                n, i = min(n + end - i, max(most, n)), end
+            else:
+                start, n = int(times[i]), 1
+                allowed[i] = True
+                i += 1
+        return (start, n), part.append_column("allowed", [allowed])
 
     types = dict(df.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, at, tie)) + ", allowed boolean"
-    return fold(df.select(*keys, at, tie), keys, [at, tie], step, schema)
+    columns = [*keys, at, tie, *(keep or [])]
+    return runs(df.select(*columns), keys, [at, tie], step, ", ".join(f"{c} {types[c]}" for c in columns) + ", allowed boolean")
 
 
 def drop_health(limited: DataFrame, keys: list[str]) -> DataFrame:

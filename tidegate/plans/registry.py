@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from fnmatch import fnmatchcase
+from fnmatch import fnmatchcase, translate
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tidegate.plans.types import Pins
 
@@ -69,3 +71,9 @@ class Registry:
 def allowed(kind: str, patterns: list[str]) -> bool:
     """Shell patterns; an empty list denies all."""
     return any(fnmatchcase(kind, p) for p in patterns)
+
+
+def allowed_column(kind: Column, patterns: list[str]) -> Column:
+    """The same for a column of kinds."""
+    tests = [kind.rlike(f"^(?:{translate(p).removesuffix('\\Z').removesuffix('\\z')})$") for p in patterns]
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)

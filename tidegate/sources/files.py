@@ -46,6 +46,21 @@ def concatenated(df: DataFrame, stream: str, order: str, data: str) -> DataFrame
     return df.groupBy(stream).agg(F.unhex(hexed).alias("data"), F.count_if(F.col(data).isNull()).alias("discarded"))
 
 
+def write_streams(packets: DataFrame, path: str) -> DataFrame:
+    """Writes the bytes of each stream, in order, below path/stream=<id>/ as numbered parts of a bounded size, and returns
+    stream_id, parts, n_bytes, discarded (packets without bytes). A stream may be of any size: its parts are dealt out by
+    ranges of seq, so no task and no row holds it whole."""
+    spark = packets.sparkSession
+    rows = packets.withColumn("data", F.when(F.col("kind") == "Binary", F.col("binary.data")))
+    held = rows.where("data is not null").select(F.col("stream_id").alias("stream"), "seq", "data")
+    held.repartitionByRange("stream", "seq").sortWithinPartitions("stream", "seq").write.mode("overwrite").partitionBy("stream").parquet(path)
+    back = spark.read.schema("seq long, data binary, stream string").parquet(path)
+    sizes = back.select("stream", F.input_file_name().alias("part"), F.octet_length("data").alias("n"))
+    files = sizes.groupBy("stream", "part").agg(F.sum("n").alias("n")).groupBy("stream").agg(F.count("*").alias("parts"), F.sum("n").alias("n_bytes"))
+    lost = rows.groupBy("stream_id").agg(F.count_if(F.col("data").isNull()).alias("discarded"))
+    return lost.join(files, lost["stream_id"] == files["stream"], "left").select("stream_id", F.coalesce("parts", F.lit(0)).alias("parts"), F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), "discarded")
+
+
 def content_type(*choices: Column) -> Column:
     """Configured, then the last node's own, then the input's, then bytes."""
     return F.coalesce(*choices, F.lit("application/octet-stream"))

@@ -40,10 +40,14 @@ def first_of_each(df: DataFrame, keys: list[str], at: str, late: str) -> DataFra
     return with_watermark(df, at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def rate_limited(df: DataFrame, key: str, at: str, tie: str, window_us: int, most: int) -> DataFrame:
-    """The per-key limit of operators.telemetry; in a batch of the stream, a key's rows are taken in order of time."""
+def rate_limited(df: DataFrame, key: str, at: str, tie: str, window_us: int, most: int, idle_ms: int = 3_600_000) -> DataFrame:
+    """The per-key limit of operators.telemetry; in a batch of the stream, a key's rows are taken in order of time. A key's
+    state goes once it has been quiet for idle_ms of processing time."""
 
     def limit(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, n = state.get if state.exists else (None, 0)
         rows = pd.concat(list(frames)).sort_values([at, tie])
         allowed = []
@@ -55,11 +59,12 @@ def rate_limited(df: DataFrame, key: str, at: str, tie: str, window_us: int, mos
                 n += ok
             allowed.append(ok)
         state.update((start, n))
+        state.setTimeoutDuration(idle_ms)
         yield rows.assign(allowed=allowed)[[key, at, tie, "allowed"]]
 
     kinds = dict(df.dtypes)
     schema = f"{key} {kinds[key]}, {at} {kinds[at]}, {tie} {kinds[tie]}, allowed boolean"
-    return df.select(key, at, tie).groupBy(key).applyInPandasWithState(limit, schema, "start long, n long", "append", GroupStateTimeout.NoTimeout)
+    return df.select(key, at, tie).groupBy(key).applyInPandasWithState(limit, schema, "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def chunked_text(df: DataFrame, stream: str, seq: str, text: str, mode: str = "sentences", min_length: int = 10, words: int = 5) -> DataFrame:
