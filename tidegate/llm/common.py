@@ -17,14 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, by its whole address: spark.checkpoint.dir, in Hadoop's default store if it
+    names none. Where it isn't set, a temporary one if all runs on this machine, as in tests; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            found = f"file://{tempfile.mkdtemp(prefix='tidegate-')}"
-            spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: driver and executors need a folder that they share")
+        found = f"file://{tempfile.mkdtemp(prefix='tidegate-')}"
+        spark.sparkContext.setCheckpointDir(found)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
