@@ -143,6 +143,36 @@ def test_reports(spark):
     assert [(r.state, r.gauge) for r in stats.one_hot(states, "k", ["t"], "s").orderBy("t", "gauge").collect()] == [("a", 1), ("a", 0), ("b", 1)]
 
 
+def test_ranks_of_many_values(spark, tmp_path):
+    import random
+
+    rnd = random.Random(6)
+    rows = [(k, rnd.choice([rnd.random(), 0.5, None])) for k in "abc" for _ in range(700)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = {r.k: (r.p1, r.p50, r.p99, r.p100) for r in stats.ranks(df, ["k"], "v", [1, 50, 99, 100], ranges=8).collect()}
+    want = {}
+    for k in ("a", "b", "c", "one", "none"):
+        own = sorted(v for g, v in rows if g == k and v is not None)
+        want[k] = tuple(own[-(-p * len(own) // 100) - 1] if own else None for p in (1, 50, 99, 100))
+    assert got == want
+    same = [stats.report(df, ["k"], "v", F.lit(True), spread=s).orderBy("k").collect() for s in (False, True)]
+    assert same[0] == same[1] and stats.report(df, [], "v", F.lit(True), spread=True).collect() == stats.report(df, [], "v", F.lit(True)).collect()
+    for form in ("json", "csv"):
+        stats.write_report(stats.report(df, ["k"], "v", F.lit(True)), str(tmp_path / form), form)
+        assert spark.read.option("header", True).format(form).load(str(tmp_path / form)).count() == 5
+    with pytest.raises(ValueError):
+        stats.write_report(df, "x", "xml")
+
+
+def test_counters_of_large_streams(spark):
+    rows = spark.range(3000).select((F.col("id") % 2).alias("node"), (F.col("id") * 7919 % 1000).alias("at"), "id", (F.col("id") % 3 == 0).alias("s"))
+    got = ordering.range_totals(rows, ["node"], "at", "id", {"all": F.lit(1), "some": F.col("s").cast("int")}, parts=9).toPandas().sort_values(["node", "at", "id"])
+    assert (got["all"].to_numpy() == got.groupby("node").cumcount().to_numpy() + 1).all()
+    assert (got["some"].to_numpy() == got["s"].astype(int).groupby(got["node"]).cumsum().to_numpy()).all()
+    one = ordering.range_totals(rows.where("at = 0"), ["node"], "at", "id", {"all": F.lit(1)})
+    assert one.count() == 3 and ordering.range_totals(rows.limit(0), ["node"], "at", "id", {"all": F.lit(1)}).count() == 0
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(bytes(range(200)) * 100)
     (tmp_path / "empty.bin").write_bytes(b"")

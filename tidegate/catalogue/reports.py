@@ -22,7 +22,7 @@ FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBO
 SELECT event_type, event_id, received, sent, errored FROM r WHERE received = 1 OR greatest(received, sent, errored) % 100 = 0""")
 def stats_snapshots(spark, sf_dir):
     v = F.col("value")
-    got = stats.snapshots(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], v < 100, v >= 200, 100)
+    got = stats.snapshots(table(spark, sf_dir, "events").withColumn("at", micros("ts")), "event_type", "at", "event_id", v < 100, v >= 200, 100)
     return got.select("event_type", "event_id", "received", "sent", "errored")
 
 
@@ -63,13 +63,13 @@ def op_report(spark, sf_dir):
 
 @C.add(f"WITH l AS (SELECT CASE WHEN event_type <> 'error' THEN value END AS ok FROM events) SELECT {_FIGURES} FROM l")
 def overall_report(spark, sf_dir):
-    return _rounded(stats.report(table(spark, sf_dir, "events"), [], "value", F.col("event_type") != "error"))
+    return _rounded(stats.report(table(spark, sf_dir, "events"), [], "value", F.col("event_type") != "error", spread=True))
 
 
 @C.add("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def reservoir_exact(spark, sf_dir):
     """Exact nearest-rank percentiles in place of a reservoir."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*(stats.nearest_rank("value", p).alias(f"p{p}") for p in (50, 95, 99)))
+    return stats.ranks(table(spark, sf_dir, "events"), ["event_type"], "value", [50, 95, 99])
 
 
 @C.add("""WITH b AS (SELECT l_returnflag, count(*) AS total, count(*) FILTER (WHERE l_discount < 0.08) AS succeeded, max(l_shipdate) AS b, min(l_shipdate) AS a FROM lineitem GROUP BY l_returnflag)

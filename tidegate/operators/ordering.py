@@ -38,6 +38,22 @@ def running_total(df: DataFrame, key: str, value: Column, name: str, tie: str, b
     return rows.withColumn("__in", inside).join(F.broadcast(sums), "__part").withColumn(name, F.col("__before") + F.col("__in")).drop("__v", "__part", "__in", "__before")
 
 
+def range_totals(df: DataFrame, stream: list[str], key: str, tie: str, values: dict[str, Column], parts: int = 256) -> DataFrame:
+    """Running sums of values in each stream in the order of (key, tie), for streams that may hold most rows.
+
+    A stream is cut into ranges of equal width of its numeric key; a window runs over the sums of the ranges, another inside
+    each range, so no task holds a stream."""
+    bounds = df.groupBy(*stream).agg(F.min(key).alias("__low"), F.max(key).alias("__high"))
+    rows = df.select("*", *(v.cast("long").alias(f"__{n}") for n, v in values.items())).join(bounds, stream)
+    width = F.greatest((F.col("__high") - F.col("__low")) / parts, F.lit(1e-12))
+    rows = rows.withColumn("__part", F.least(F.floor((F.col(key) - F.col("__low")) / width), F.lit(parts - 1)).cast("int")).drop("__low", "__high")
+    sums = rows.groupBy(*stream, "__part").agg(*(F.sum(f"__{n}").alias(f"__sum_{n}") for n in values))
+    sums = sums.select(*stream, "__part", *(F.coalesce(F.sum(f"__sum_{n}").over(before(stream, ["__part"])), F.lit(0)).alias(f"__before_{n}") for n in values))
+    inside = upto([*stream, "__part"], [key, tie])
+    got = rows.select("*", *(F.sum(f"__{n}").over(inside).alias(f"__in_{n}") for n in values)).join(sums, [*stream, "__part"])
+    return got.select(*df.columns, *((F.col(f"__before_{n}") + F.col(f"__in_{n}")).alias(n) for n in values))
+
+
 def rechunk(df: DataFrame, stream: str, order: str, samples: str, size: int | Column) -> DataFrame:
     """All samples of a stream in order, cut into chunks of `size` (one value for each stream) and a last shorter one:
     stream, chunk, samples. Frames are cut by slices, never sample by sample; only ids and sizes are sorted by stream."""
