@@ -376,3 +376,73 @@ def test_a_failed_query_recovers(spark, tmp_path):
     assert spark.table("flaky_step_1").count() == 1 and sessions.recover("flaky") == []
     sessions.stop("flaky")
     REGISTRY.unregister("plugin::once")
+
+
+def test_fetched_bodies(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from tidegate.plans import media
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            moved = self.path == "/moved"
+            self.send_response(302 if moved else 404 if self.path == "/none" else 200)
+            self.send_header("Location" if moved else "Content-Type", "/page" if moved else "text/plain")
+            self.end_headers()
+            self.wfile.write(b"x" * 20_000 if self.path == "/page" else b"")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        fetch = lambda url, **p: build(compile_pipeline({"steps": [{"kind": "transport::http::fetcher", "params": {"url": url, **p}}]}), REGISTRY)["step_0"]
+        got = fetch(f"{at}/page").orderBy("seq").collect()
+        assert [len(r.binary.data) for r in got] == [8192, 8192, 3616] and got[0].binary.content_type == "text/plain"
+        for path in ("/none", "/moved"):
+            with pytest.raises(ValueError, match="status"):
+                media.http_get(at + path)
+        with pytest.raises(ValueError, match="chunk_size"):
+            fetch(f"{at}/page", chunk_size=0)
+    finally:
+        server.shutdown()
+
+
+def webm_elements(data, inside=("Segment", "Cluster", "Tracks", "TrackEntry", "Audio")):
+    """(name, body) of a stream's elements, those with others in them opened."""
+    from tidegate.sources.webm import ELEMENTS
+
+    names, out, at = {v: k for k, v in ELEMENTS.items()}, [], 0
+    while at < len(data):
+        n = 8 - data[at].bit_length() + 1
+        name = names[int.from_bytes(data[at : at + n], "big")]
+        size = int.from_bytes(data[at + n : at + n + 8], "big") & ((1 << 56) - 1)
+        at += n + 8
+        if name in inside:
+            out.append((name, None))
+            continue
+        out.append((name, data[at : at + size]))
+        at += size
+    return out
+
+
+def test_webm(spark):
+    from tidegate.plans import media
+
+    rows = spark.createDataFrame([("s", k, f"packet {k}") for k in range(5)], "s string, n long, t string")
+    p = text_packets(rows, F.col("s"), F.col("n"), F.col("t")).withColumn("kind", F.lit("Binary")).withColumn("binary", F.struct(F.encode("text", "UTF-8").alias("data"), F.lit(None).cast("string").alias("content_type")))
+    p = p.withColumn("metadata", media.timing(F.when(F.col("seq") == 3, 100_000), F.lit(20_000), F.col("seq")))
+    live = steps(p, ("containers::webm::muxer", {"channels": 2})).orderBy("seq").collect()
+    whole = steps(p, ("containers::webm::muxer", {"channels": 2, "streaming_mode": "file"})).collect()
+    data = b"".join(bytes(r.binary.data) for r in live)
+    assert len(live) == 5 and len(whole) == 1 and bytes(whole[0].binary.data) == data and live[0].binary.content_type == 'audio/webm; codecs="opus"'
+    got = webm_elements(data)
+    assert [b for n, b in got if n == "CodecID"] == [b"A_OPUS"] and [b[-1] for n, b in got if n == "Channels"] == [2]
+    assert [int.from_bytes(b, "big") for n, b in got if n == "Timecode"] == [20, 40, 60, 100, 120]
+    assert [b[4:].decode() for n, b in got if n == "SimpleBlock"] == [f"packet {k}" for k in range(5)]
+    for bad in ({"channels": 3}, {"streaming_mode": "odd"}):
+        with pytest.raises(ValueError):
+            steps(p, ("containers::webm::muxer", bad))

@@ -90,6 +90,23 @@ def drop_health(spark, sf_dir):
     return telemetry.drop_health(limited(spark, sf_dir), ["user_id"])
 
 
+@C.add(LIMITED + " SELECT user_id, (t_us // 604800000000) * 604800000000 AS start_us, count(*) AS events, count(*) FILTER (WHERE NOT allowed) AS dropped FROM r GROUP BY 1, 2 HAVING count(*) FILTER (WHERE NOT allowed) > 0")
+def drop_health_weekly(spark, sf_dir):
+    return telemetry.drop_health_events(limited(spark, sf_dir), ["user_id"], "at", 7 * 24 * HOUR)
+
+
+@C.add("""WITH s AS (SELECT event_id // 2 AS span, min(epoch_us(ts)) AS start_us, min(value) AS v, min(event_type) AS kind FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+e AS (SELECT event_id // 2 AS span, epoch_us(ts) AS end_us, value AS v FROM events WHERE event_id % 2 = 1)
+SELECT s.span, s.start_us, e.end_us, e.end_us - s.start_us AS latency_us, s.kind, e.v AS value FROM s JOIN e ON s.span = e.span AND e.end_us >= s.start_us""")
+def span_by_id(spark, sf_dir):
+    """Even events open a span and odd ones close it; the span's data are those of both ends."""
+    e = events(spark, sf_dir).withColumn("span", F.floor(F.col("event_id") / 2)).withColumn("session", F.lit("one"))
+    opens = F.col("event_id") % 2 == 0
+    data = F.when(opens, F.create_map(F.lit("kind"), F.col("event_type"), F.lit("value"), F.col("value").cast("string"))).otherwise(F.create_map(F.lit("value"), F.col("value").cast("string")))
+    got = telemetry.spans_by_id(e, "session", "span", F.col("at"), opens, ~opens, data)
+    return got.select("span", "start_us", "end_us", "latency_us", F.col("data")["kind"].alias("kind"), F.col("data")["value"].cast("double").alias("value"))
+
+
 @C.add("""SELECT e.event_id, e.user_id, round(e.value * coalesce(c.gain, 1.0), 6) AS value
 FROM (SELECT * FROM events WHERE event_type <> 'signup') e ASOF LEFT JOIN (SELECT user_id, ts, value / 100 AS gain FROM events WHERE event_type = 'signup') c ON e.user_id = c.user_id AND e.ts >= c.ts""")
 def tune_asof(spark, sf_dir):

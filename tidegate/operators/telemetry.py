@@ -123,6 +123,17 @@ def spans(df: DataFrame, stream: str, order: list[str], at_us: Column, opens: Co
     return rows.withColumn("end_us", F.col("__at")).withColumn("latency_us", F.col("end_us") - F.col("start_us")).drop("__at")
 
 
+def spans_by_id(df: DataFrame, stream: str, span: str, at_us: Column, opens: Column, closes: Column, data: Column) -> DataFrame:
+    """One row per span that has both ends, whatever lies between: start_us, end_us, latency_us, and the data (a map) of both,
+    where the end's values win. A span that opens or closes twice counts from the first to the first after it."""
+    rows = df.select(stream, span, at_us.alias("__at"), opens.alias("__o"), closes.alias("__c"), data.alias("__d"))
+    starts = rows.where("__o").groupBy(stream, span).agg(F.min("__at").alias("start_us"), F.min_by("__d", "__at").alias("__first"))
+    ends = rows.where("__c").join(starts, [stream, span]).where("__at >= start_us")
+    found = ends.groupBy(stream, span).agg(F.first("start_us").alias("start_us"), F.min("__at").alias("end_us"), F.first("__first").alias("__first"), F.min_by("__d", "__at").alias("__last"))
+    kept = F.map_filter("__first", lambda k, _: ~F.map_contains_key("__last", k))
+    return found.select(stream, span, "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("latency_us"), F.map_concat(kept, "__last").alias("data"))
+
+
 def rate_limited(df: DataFrame, keys: list[str], at: str, tie: str, window_us: int, most: int, keep: list[str] | None = None) -> DataFrame:
     """df: the keys, at (microseconds), tie. Adds allowed by a window that the first event of a key opens, and that the
     first event after its end opens anew; in it `most` events pass (one passes even if most is 0)."""
@@ -154,6 +165,13 @@ def drop_health(limited: DataFrame, keys: list[str]) -> DataFrame:
     return limited.groupBy(*keys).agg(F.count("*").alias("events"), F.count_if(~F.col("allowed")).alias("dropped")).where("dropped > 0")
 
 
+def drop_health_events(limited: DataFrame, keys: list[str], at: str, every_us: int) -> DataFrame:
+    """`telemetry.health` rows: of each key and interval, what was dropped in it; an interval without drops makes none, and
+    counts begin anew with each."""
+    begin = (F.floor(F.col(at) / every_us) * every_us).cast("long").alias("start_us")
+    return limited.groupBy(*keys, begin).agg(F.count("*").alias("events"), F.count_if(~F.col("allowed")).alias("dropped")).where("dropped > 0")
+
+
 def latest_before(df: DataFrame, controls: DataFrame, stream: str, at: str, tie: str, value: str) -> DataFrame:
     """As-of lookup: the last control of a row's stream at or before it. df and controls are merged in order, not joined.
 

@@ -19,8 +19,8 @@ from tidegate.operators import clocks, ordering
 from tidegate.plans.nodes import REGISTRY, _given
 from tidegate.plans.registry import Registry
 from tidegate.plans.types import BINARY, OPUS, InputPin, OutputPin, Pins, raw_audio
-from tidegate.sources import ogg
-from tidegate.sources.files import WAV_CHUNK, parse_wav
+from tidegate.sources import ogg, webm
+from tidegate.sources.files import WAV_CHUNK, chunked, parse_wav
 
 # Frames per channel that a resampler may emit; 0 takes what a chunk of input gives.
 FRAME_SIZES = (0, 120, 240, 480, 960, 1920, 2880)
@@ -209,6 +209,68 @@ def ogg_muxer(inputs, config):
     return {"out": packets(got, kind=F.lit("Binary"), binary=F.struct(F.col("data"), F.lit("audio/ogg").alias("content_type")))}
 
 
+def http_get(url: str, timeout: float = 5.0) -> tuple[bytes, str | None]:
+    """A body and its content type; redirects aren't followed, and any status but 2xx is an error."""
+    import urllib.error
+    import urllib.request
+
+    class Stay(urllib.request.HTTPRedirectHandler):
+        def redirect_request(self, *args, **kwargs):
+            return None
+
+    try:
+        with urllib.request.build_opener(Stay).open(url, timeout=timeout) as got:
+            return got.read(), got.headers.get("Content-Type")
+    except urllib.error.HTTPError as e:
+        raise ValueError(f"{url}: status {e.code}") from None
+
+
+@REGISTRY.node("transport::http::fetcher", Pins((), (OutputPin("out", BINARY),)), {"chunk_size": 8192}, ("url",), ("transport",))
+def fetcher(inputs, config):
+    """The body of a URL, or of each of a list, in chunks of one size and a remainder. A body is read whole by one task."""
+    from pyspark.sql import SparkSession
+
+    if config["chunk_size"] < 1:
+        raise ValueError("transport::http::fetcher: chunk_size is at least 1")
+    urls = [config["url"]] if isinstance(config["url"], str) else list(config["url"])
+    spark = SparkSession.getActiveSession()
+
+    def fetched(frames_):
+        for pdf in frames_:
+            got = [http_get(u) for u in pdf["stream_id"]]
+            yield pdf.assign(body=[b for b, _ in got], content_type=[t for _, t in got])
+
+    listed = spark.createDataFrame([(u,) for u in urls], "stream_id string").repartition(max(len(urls), 1))
+    bodies = listed.mapInPandas(fetched, "stream_id string, body binary, content_type string")
+    cut = chunked(bodies, F.col("body"), config["chunk_size"], "stream_id", "content_type")
+    return {"out": packets(cut, seq=F.col("chunk_no"), kind=F.lit("Binary"), binary=F.struct("data", "content_type"))}
+
+
+@REGISTRY.node("containers::webm::muxer", Pins((InputPin("in", (OPUS, BINARY)),), (OutputPin("out", BINARY),)), {"channels": 1, "sample_rate": 48_000, "streaming_mode": "live"}, categories=("containers",))
+def webm_muxer(inputs, config):
+    """Clusters of one packet each, after a head that comes with the first; `file` gives a stream's parts as one packet, which
+    holds a whole stream, and `live` each as it is made."""
+    if config["channels"] not in (1, 2):
+        raise ValueError("containers::webm::muxer: channels are 1 or 2")
+    if config["streaming_mode"] not in ("live", "file"):
+        raise ValueError("containers::webm::muxer: streaming_mode is live or file")
+    rows = packets(_given(inputs, "containers::webm::muxer")).where("kind = 'Binary'")
+    timed = clocks.webm_clock(rows, "stream_id", ["seq"], F.col("metadata.timestamp_us"), F.col("metadata.duration_us"), F.col("metadata").isNotNull())
+    head = webm.head(config["sample_rate"], config["channels"])
+
+    def blocks(at: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([webm.cluster(int(t) // 1_000_000, bytes(d)) for t, d in zip(at, data)])
+
+    blocks.__annotations__ = {"at": pd.Series, "data": pd.Series, "return": pd.Series}
+    made = timed.select("stream_id", "seq", F.pandas_udf(blocks, "binary")("timestamp_ns", "binary.data").alias("data"))
+    first = F.row_number().over(Window.partitionBy("stream_id").orderBy("seq")) == 1
+    made = made.withColumn("data", F.when(first, F.concat(F.lit(head), F.col("data"))).otherwise(F.col("data")))
+    if config["streaming_mode"] == "file":
+        parts = made.groupBy("stream_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "data"))), lambda p: p["data"]).alias("parts"))
+        made = parts.select("stream_id", F.lit(0).cast("long").alias("seq"), F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p)).alias("data"))
+    return {"out": packets(made, kind=F.lit("Binary"), binary=F.struct("data", F.lit('audio/webm; codecs="opus"').alias("content_type")))}
+
+
 def codec(kind: str, decode: Callable[[bytes], np.ndarray], rate: int, channels: int, whole: bool = False, timed: bool = True, registry: Registry = REGISTRY) -> None:
     """Registers a decoder: a function of bytes that gives interleaved samples.
 
