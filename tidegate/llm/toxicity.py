@@ -43,7 +43,7 @@ FOLDS = 5
 #: Words that are broadcast at most (a hash and six numbers each).
 SHARED = 2_000_000
 FIT_ROWS = 20_000
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 #: Parts that the pairs of one word are dealt to, and bytes of texts for each bucket of pairs.
 SPREAD, BUCKET = 16, 1 << 24
 _PAIR = np.dtype([("word", "<u8"), ("before", "<u4"), ("mask", "<u2")])
