@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,21 +123,28 @@ def resample_frames(df: DataFrame, stream: str, order: str, samples: str, rate_i
     rows = rows.join(narrow.select(stream, order, "__n", "__start", "__next"), [stream, order])
     first = F.ceil(F.col("__start") * rate_out / F.col("__in")).cast("long")
     after = F.ceil((F.col("__start") + F.col("__n")) * rate_out / F.col("__in")).cast("long")
-    rows = rows.withColumn("first", first).withColumn("__after", after)
-    x = F.col(samples)
-
-    def at(j: Column) -> Column:
-        """Output sample j of the frame, interleaved."""
-        c = (j % F.col("__c")).cast("int")
-        place = (F.col("first") + F.floor(j / F.col("__c"))) * F.col("__in") / F.lit(rate_out) - F.col("__start")
-        i = F.floor(place).cast("int")
-        here = F.get(x, i * F.col("__c") + c).cast("double")
-        there = F.when(i + 1 < F.col("__n"), F.get(x, (i + 1) * F.col("__c") + c)).otherwise(F.get("__next", c))
-        return here + (F.coalesce(there.cast("double"), here) - here) * (place - i)
-
-    none = F.array().cast("array<double>")
-    made = F.when(F.col("__after") > F.col("first"), F.transform(F.sequence(F.lit(0), ((F.col("__after") - F.col("first")) * F.col("__c")).cast("int") - 1), at)).otherwise(none)
-    return rows.select(stream, order, "first", made.alias("samples"))
+    made = _interpolated(rate_out)(samples, "__next", "__n", "__start", first, after, "__in", "__c")
+    return rows.select(stream, order, first.alias("first"), made.alias("samples"))
+
+
+def _interpolated(rate_out: int):
+    """The outputs of frames, frame by frame as arrays (the JVM would work out such an expression sample by sample)."""
+
+    def each(samples, ahead, n, start, first, after, rate, channels):
+        out = []
+        for x, y, m, s, a, b, r, c in zip(samples, ahead, n, start, first, after, rate, channels):
+            if not m > 0 or not b > a:
+                out.append(np.zeros(0))
+                continue
+            place = np.arange(int(a), int(b)) * float(r) / rate_out - s
+            i = np.floor(place).astype(np.int64)
+            frame = np.asarray(x, np.float64)[: int(m) * int(c)].reshape(int(m), int(c))
+            frame = np.vstack([frame, frame[-1] if y is None else np.asarray(y, np.float64)])
+            out.append((frame[i] + (frame[i + 1] - frame[i]) * (place - i)[:, None]).ravel())
+        return pd.Series(out, dtype=object)
+
+    each.__annotations__ = {**dict.fromkeys(("samples", "ahead", "n", "start", "first", "after", "rate", "channels"), pd.Series), "return": pd.Series}
+    return F.pandas_udf(each, "array<double>")
 
 
 def resample(df: DataFrame, stream: str, order: str, samples: str, rate_in: int, rate_out: int) -> DataFrame:
