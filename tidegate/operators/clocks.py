@@ -78,8 +78,9 @@ def page_durations(df: DataFrame, stream: str, page_granule: str, packets: str,
 def pace(df: DataFrame, stream: str, order: list[str], at_us: Column, duration: Column, speed: float, burst: int, gap_us: int) -> DataFrame:
     """Release times: packets leave in order, a duration (by speed) apart; the first `burst` of a segment a tenth of that.
 
-    A segment ends where arrivals are more than gap_us apart. segment, in_segment (from 0) and release_us from the
-    segment's first arrival; a packet without duration bypasses the queue and leaves on arrival."""
+    A segment ends where arrivals are more than gap_us apart. segment, in_segment (from 0), due_us (when a packet's place in
+    the queue is reached, from the segment's first arrival) and release_us: that, but a packet without duration bypasses
+    the queue and leaves on arrival."""
     if speed <= 0:
         raise ValueError("speed must be above 0")
     w = ordered([stream], order)
@@ -92,7 +93,8 @@ def pace(df: DataFrame, stream: str, order: list[str], at_us: Column, duration:
     rows = rows.withColumn("__step", F.when(F.col("in_segment") < burst, F.floor(each / 10).cast("long")).otherwise(each))
     start = F.first("__at").over(inside)
     due = start + F.coalesce(F.sum("__step").over(before([stream, "segment"], order)), F.lit(0))
-    rows = rows.withColumn("release_us", F.when(duration == 0, F.col("__at")).otherwise(due))
+    rows = rows.withColumn("due_us", due)
+    rows = rows.withColumn("release_us", F.when(duration == 0, F.col("__at")).otherwise(F.col("due_us")))
     return rows.drop("__at", "__new", "__step")
 
 
