@@ -70,34 +70,50 @@ def rechunk(df: DataFrame, stream: str, order: str, samples: str, size: int | Co
     return each.groupBy(stream, "chunk").agg(F.flatten(F.transform(F.sort_array(F.collect_list("__s")), lambda s: s["x"])).alias(samples))
 
 
+#: Rows of a batch that are Python objects at once; rows, and values in them (characters, bytes, samples), of a batch that is emitted.
+READ, ROWS, VALUES = 64, 1024, 1 << 20
+
+
 def fold(df: DataFrame, stream: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
-    """Reads each stream once, in order, across Arrow batches; a stream of any length needs the memory of its state only.
+    """Reads each stream once, in order, across Arrow batches; a stream of any length needs the memory of its state only, and
+    a batch that of a few of its rows.
 
     step(state, row) returns the new state and the rows to emit; state begins as None, and row is None at a stream's end."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
-    names = kinds.names
+    wide = [k for k, t in enumerate(kinds.types) if pa.types.is_list(t) or pa.types.is_string(t) or pa.types.is_binary(t)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, last, out = None, None, None, []
+    def emitted(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.types)], schema=kinds)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        now, state, any_ = None, None, False
         for b in batches:
-            for row in b.to_pylist():
-                key = tuple(row[c] for c in stream)
-                if key != now:
-                    if last is not None:
-                        out += step(state, None)[1]
-                    now, state = key, None
-                state, made = step(state, row)
-                out += made
-                last = row
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=kinds)
-                out = []
-        if last is not None:
-            out += step(state, None)[1]
+            for at in range(0, b.num_rows, READ):
+                for row in b.slice(at, READ).to_pylist():
+                    key = tuple(row[c] for c in stream)
+                    if key != now:
+                        if any_:
+                            yield from step(state, None)[1]
+                        now, state, any_ = key, None, True
+                    state, out = step(state, row)
+                    yield from out
+        if any_:
+            yield from step(state, None)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for r in made(batches):
+            out.append(r)
+            for k in wide:
+                if r[k] is not None:
+                    size += len(r[k])
+            if len(out) == ROWS or size > VALUES:
+                yield emitted(out)
+                out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=kinds)
+            yield emitted(out)
 
     return df.repartition(*stream).sortWithinPartitions(*stream, *order).mapInArrow(run, schema)
 
