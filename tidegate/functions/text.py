@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -61,6 +63,17 @@ def sanitize(text: Column, kind: str = "wide") -> Column:
     return F.transform(F.array(flat), lambda t: F.when(F.substring(t, -1, 1).isin(list(ENDS[kind])) | (t == ""), t).otherwise(F.concat(t, F.lit("."))))[0]
 
 
+def cleaner(kind: str = "wide") -> Callable[[str], str]:
+    """sanitize for texts in Python. Of blanks, only spaces and line feeds are allowed characters."""
+    dropped, blanks, ends = re.compile(f"[^{KEPT[kind]}]+"), re.compile(" {2,}"), tuple(ENDS[kind])
+
+    def clean(text: str) -> str:
+        flat = blanks.sub(" ", dropped.sub("", text).replace("\n", " ")).strip(" ")
+        return flat + "." if flat and not flat.endswith(ends) else flat
+
+    return clean
+
+
 def glob_any(kind: Column, patterns: list[str]) -> Column:
     """`x.*` and `x*` match what begins with x (the first drops two characters, so it matches `xfoo` too); else equality.
 

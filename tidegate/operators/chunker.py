@@ -6,6 +6,7 @@ cuts; what a stream leaves in the buffer at its end is emitted as it is."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -68,17 +69,21 @@ class Chunker:
         return buffer[at:], out
 
 
-def chunks(df: DataFrame, stream: str, order: list[str], text: str, mode: str = "sentences", min_length: int = 10, words: int = 5, flush: bool = True) -> DataFrame:
-    """stream, chunk_no (from 1), chunk. flush: what a stream leaves in the buffer is its last chunk."""
+def chunks(df: DataFrame, stream: str, order: list[str], text: str, mode: str = "sentences", min_length: int = 10, words: int = 5, flush: bool = True, clean: Callable[[str], str] | None = None, made: Callable[[str], object] | None = None, made_kind: str = "string") -> DataFrame:
+    """stream, chunk_no (from 1), chunk. flush: what a stream leaves in the buffer is its last chunk. clean: what becomes of a
+    text before it is added; made: what becomes of a chunk, a value of made_kind. Both run where texts are cut, so texts
+    travel once."""
     chunker = Chunker(mode, min_length, words)
+    clean, made = clean or (lambda t: t), made or (lambda c: c)
 
     def step(state, row):
         key, buffer, n = state or (None, "", 0)
         if row is None:
-            return None, [(key, n + 1, buffer)] if buffer and flush else []
-        buffer, made = chunker.feed(buffer, row[text] or "")
-        return (row[stream], buffer, n + len(made)), [(row[stream], n + k + 1, c) for k, c in enumerate(made)]
+            return None, [(key, n + 1, made(buffer))] if buffer and flush else []
+        buffer, cut = chunker.feed(buffer, clean(row[text] or ""))
+        # One by one: what is made of all chunks of a long text needn't be held.
+        return (row[stream], buffer, n + len(cut)), ((row[stream], n + k + 1, made(c)) for k, c in enumerate(cut))
 
     kind = dict(df.dtypes)[stream]
     rows = df.select(*dict.fromkeys([stream, *order, text]))
-    return fold(rows, [stream], order, step, f"{stream} {kind}, chunk_no long, chunk string")
+    return fold(rows, [stream], order, step, f"{stream} {kind}, chunk_no long, chunk {made_kind}")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions.packets import packets
-from tidegate.functions.text import blank, check_languages, language_tag, sanitize, translated, without_tags
+from tidegate.functions.text import blank, check_languages, cleaner, language_tag, translated, without_tags
 from tidegate.operators import activity, ordering
 from tidegate.operators.chunker import chunks
 from tidegate.plans.media import audio, timing
@@ -164,17 +164,13 @@ def text_to_speech(kind: str, speak: Callable[[str], np.ndarray], rate: int, voi
     """Registers a speaker: texts of a stream are cleaned and cut into sentences, and each is spoken. flush: what is left at a
     stream's end is spoken too."""
 
-    def spoken(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: np.asarray(speak(t), np.float32).tolist())
-
-    spoken.__annotations__ = {"text": pd.Series, "return": pd.Series}
-    spoken = F.pandas_udf(spoken, "array<float>")
+    def spoken(text: str) -> np.ndarray:
+        return np.asarray(speak(text), np.float32)
 
     def apply(inputs, config):
-        rows = packets(_given(inputs, kind)).where("kind = 'Text'").select("stream_id", "seq", sanitize(F.col("text"), voice).alias("text")).where("text <> ''")
-        said = chunks(rows, "stream_id", ["seq"], "text", "sentences", config["min_sentence_length"], flush=flush)
-        made = said.withColumn("samples", spoken("chunk"))
-        return {"out": packets(made, seq=F.col("chunk_no"), kind=F.lit("Audio"), audio=audio(F.lit(rate), F.lit(1), F.col("samples")))}
+        rows = packets(_given(inputs, kind)).where("kind = 'Text'").select("stream_id", "seq", "text")
+        said = chunks(rows, "stream_id", ["seq"], "text", "sentences", config["min_sentence_length"], flush=flush, clean=cleaner(voice), made=spoken, made_kind="array<float>")
+        return {"out": packets(said, seq=F.col("chunk_no"), kind=F.lit("Audio"), audio=audio(F.lit(rate), F.lit(1), F.col("chunk")))}
 
     registry.node(kind, Pins((InputPin("in", (TEXT,)),), (OutputPin("out", raw_audio(rate, 1)),)), {"min_sentence_length": 10}, categories=("models",))(apply)
 
