@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import filters, frames
+from tidegate.functions.each import each
 from tidegate.functions.packets import packets
 from tidegate.operators import clocks, ordering
 from tidegate.plans.nodes import REGISTRY, _given
@@ -277,11 +278,7 @@ def codec(kind: str, decode: Callable[[bytes], np.ndarray], rate: int, channels:
     whole: it takes a stream's bytes at once (a file), and its samples are cut into frames of 1920; else it takes packets one
     by one, header packets and those too small to hold a frame are skipped, and each makes a frame. timed: frames carry times."""
 
-    def decoded(data: pd.Series) -> pd.Series:
-        return data.map(lambda d: np.asarray(decode(bytes(d)), np.float32).tolist())
-
-    decoded.__annotations__ = {"data": pd.Series, "return": pd.Series}
-    decoded = F.pandas_udf(decoded, "array<float>")
+    decoded = each(lambda d: np.asarray(decode(bytes(d)), np.float32), "array<float>")
 
     def apply(inputs, config):
         rows = _bytes(_given(inputs, kind)).where("data is not null")
