@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.functions.each import each
 from tidegate.functions.packets import packets
 from tidegate.functions.text import blank, check_languages, cleaner, language_tag, translated, without_tags
 from tidegate.operators import activity, ordering
@@ -143,11 +144,7 @@ def speech_to_text(kind: str, voice: Callable[[np.ndarray], np.ndarray] | None,
 def translator(kind: str, translate: Callable[[str], str], languages: tuple[str, ...] | None = None, registry: Registry = REGISTRY) -> None:
     """Registers a translator of texts and transcriptions; blank ones are skipped. languages: those that it takes, if few."""
 
-    def other(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else translate(t))
-
-    other.__annotations__ = {"text": pd.Series, "return": pd.Series}
-    other = F.pandas_udf(other, "string")
+    other = each(translate, "string")
 
     def apply(inputs, config):
         if languages:
