@@ -121,7 +121,9 @@ def resample_frames(df: DataFrame, stream: str, order: str, samples: str, rate_i
     rows = df.withColumn("__in", fixed(rate_in)).withColumn("__c", fixed(channels))
     each = F.floor(F.size(samples) / F.greatest(F.col("__c"), F.lit(1))).cast("long")
     narrow = placed(rows, stream, order, each, F.slice(F.col(samples), F.lit(1), F.col("__c")).alias("__head"))
-    narrow = narrow.withColumn("__next", F.first(F.when(F.col("__n") > 0, F.col("__head")), ignorenulls=True).over(Window.partitionBy(stream).orderBy(order).rowsBetween(1, Window.unboundedFollowing)))
+    # What comes next is sought from the end on: a frame of rows up to the end would be read anew for each row.
+    back = before([stream], [F.col(order).desc()])
+    narrow = narrow.withColumn("__next", F.last(F.when(F.col("__n") > 0, F.col("__head")), ignorenulls=True).over(back))
     rows = rows.join(narrow.select(stream, order, "__n", "__start", "__next"), [stream, order])
     first = F.ceil(F.col("__start") * rate_out / F.col("__in")).cast("long")
     after = F.ceil((F.col("__start") + F.col("__n")) * rate_out / F.col("__in")).cast("long")
